@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import licenses, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,7 +37,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_quality_rules, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_shard_by_splitters, op4_license_scan, op6_quality_rules, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
