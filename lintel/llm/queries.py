@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sharding
+from . import decontaminate, language, licenses, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    profiles = language.learn(docs.where(fold != 2))
+    judged = language.predict(docs, profiles)
+    return judged.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -31,13 +39,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs).select("doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"), q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), F.array_join(q["broken"], ",").alias("broken"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = decontaminate.scan(docs.select("doc_id", "text"), benchmark)
+    n_hit, n_words, items = F.col("n_hit"), F.col("n_words"), F.array_sort("items")
+    return found.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), decontaminate.contaminated(n_hit, n_words).alias("contaminated"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_shard_by_splitters, op4_license_scan, op6_quality_rules, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_identify_language, op2_shard_by_splitters, op4_license_scan, op6_quality_rules, op9_decontaminate, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
