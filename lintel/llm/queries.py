@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, quality, sharding
+from . import decontaminate, language, licenses, mixing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs).select("doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"), q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), F.array_join(q["broken"], ",").alias("broken"))
 
 
+def op7_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["plain"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     found = decontaminate.scan(docs.select("doc_id", "text"), benchmark)
@@ -52,7 +60,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_identify_language, op2_shard_by_splitters, op4_license_scan, op6_quality_rules, op9_decontaminate, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_identify_language, op2_shard_by_splitters, op4_license_scan, op6_quality_rules, op7_deobfuscate_pii, op9_decontaminate, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
