@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, pii, quality, sharding
+from . import decontaminate, jaccard, language, licenses, mixing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,7 +64,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_identify_language, op2_shard_by_splitters, op4_license_scan, op6_quality_rules, op7_deobfuscate_pii, op9_decontaminate, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_identify_language, op2_shard_by_splitters, op4_license_scan, op5_ngram_jaccard_join, op6_quality_rules, op7_deobfuscate_pii, op9_decontaminate, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
