@@ -86,7 +86,7 @@ def _gathered(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
 
 
 def _catalogue(rows: DataFrame, blocks: int) -> DataFrame:
-    """(key, sig, n) of each row, and (block, entries) with the first n-grams of each set, by hash, that a task meets."""
+    """(key, h, sig, n) of each row, and (block, entries) with the first n-grams of each set, by hash, that a task meets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, held, size = WordHasher(BLANK_BYTES), set(), [], 0
@@ -94,7 +94,7 @@ def _catalogue(rows: DataFrame, blocks: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             dealt = list(_dealt(np.concatenate(held), blocks, []))
             none = pa.nulls(len(dealt), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([d[0] for d in dealt], pa.int64()), pa.array([d[1] for d in dealt], pa.binary())], ["key", "row", "sig", "n", "block", "entries"])
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([d[0] for d in dealt], pa.int64()), pa.array([d[1] for d in dealt], pa.binary())], ["key", "h", "sig", "n", "block", "entries"])
 
         for batch in batches:
             sigs, sizes = [], []
@@ -108,14 +108,14 @@ def _catalogue(rows: DataFrame, blocks: int) -> DataFrame:
                     held.append(first)
                     size += len(first)
             none = pa.nulls(len(sigs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], ["key", "row", "sig", "n", "block", "entries"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], ["key", "h", "sig", "n", "block", "entries"])
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    return bounded(rows).mapInArrow(run, "key long, row long, sig long, n long, block long, entries binary")
+    return bounded(rows).mapInArrow(run, "key long, h long, sig long, n long, block long, entries binary")
 
 
 def _frequent(catalogue: DataFrame, above: int, most: int) -> np.ndarray:
@@ -283,27 +283,22 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return bounded(joined).mapInArrow(run, "sig long, class long, size long, copies long, own binary")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: key, n_shingles, component_id and n_links.
-
-    component_id is the smallest key that links reach, the document's own included; n_links the number of documents
-    that it links with, copies counted. Null, empty and blank texts have no n-grams and link with nothing. Repeated
-    rows and equal texts link with each other; null keys are passed over in component_id, which is null where a class
-    has no other. An empty table gives no rows.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("row"), F.col(text).alias("text"))
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h, n, component, n_links) of each row; h is a hash of its text."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    row = F.coalesce("key", "h").alias("row")
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, volume // BLOCK_BYTES)
     catalogue = settle(_catalogue(rows, blocks), "jaccard-catalogue")
-    entries = catalogue.where(F.col("block").isNull()).select("key", "row", "sig", "n")
+    entries = catalogue.where(F.col("block").isNull()).select("key", "h", "sig", "n")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(catalogue, FREQUENT, MOST_FREQUENT))
     pairs = settle(_candidates(_postings(rows.select("text"), blocks, frequent)), "jaccard-pairs")
     classes = settle(components(pairs), "jaccard-classes")
     members = classes.select(F.col("node").alias("sig"), F.col("root").alias("class")).unionByName(classes.select(F.col("root").alias("sig"), F.col("root").alias("class")).distinct())
-    nodes = settle(entries.where("sig is not null").groupBy("sig").agg(F.min("row").alias("row"), F.min("key").alias("least"), F.count("*").alias("copies")), "jaccard-nodes")
+    nodes = settle(entries.where("sig is not null").select("sig", "key", row).groupBy("sig").agg(F.min("row").alias("row"), F.min("key").alias("least"), F.count("*").alias("copies")), "jaccard-nodes")
     sized = members.join(if_small(members.groupBy("class").agg(F.count("*").alias("size"))), "class")
     wanted = settle(nodes.join(sized, "sig").select("row", "sig", "class", "size", "copies"), "jaccard-wanted")
-    dealt = _sets(rows.select("row", "text"), wanted).withColumn("parts", F.ceil(F.col("size") / DOC_BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    dealt = _sets(rows.select(row, "text"), wanted).withColumn("parts", F.ceil(F.col("size") / DOC_BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocked = dealt.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("class", "i", "j", "part", "sig", "copies", "own")
     verified = settle(_verified(blocked), "jaccard-links")
@@ -313,5 +308,35 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     told = labelled.where("copies > 1 or links > 0")
     least = told.groupBy("root").agg(F.min("least").alias("component"))
     known = settle(told.join(least, "root").select("sig", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-known")
-    out = entries.join(if_small(known), "sig", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    component = F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component"))
+    return entries.join(if_small(known), "sig", "left").select("key", "h", "n", component.alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: key, n_shingles, component_id and n_links.
+
+    component_id is the smallest key that links reach, the document's own included; n_links the number of documents
+    that it links with, copies counted. Null, empty and blank texts have no n-grams and link with nothing. Repeated
+    rows and equal texts link with each other; null keys are passed over in component_id, which is null where a class
+    has no other. An empty table gives no rows.
+    """
+    return _classes(docs, key, text).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, its columns as they are, with one document of each class of linked ones: that of the smallest key.
+
+    Of rows with one key and text, one stays. Rows without n-grams are in no class. In a class without keys, equal
+    texts count as one row, and others stay.
+    """
+    found = settle(_classes(docs, key, text), "jaccard-found")
+    gone = found.where("component is not null and not key <=> component").select(F.col("key").alias("gone_key"), F.col("h").alias("gone_h")).distinct()
+    twice = settle(found.groupBy("key", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("gone_key"), F.col("h").alias("gone_h")), "jaccard-twice")
+    row = F.col("row")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("own_key"), F.xxhash64(text).alias("own_h"))
+    same = F.col("own_key").eqNullSafe(F.col("gone_key")) & (F.col("own_h") == F.col("gone_h"))
+    kept = rows.join(if_small(gone), same, "left_anti")
+    if not twice.isEmpty():
+        repeated = if_small(twice)
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["own_key", "own_h"]))
+    return kept.select(row).select("row.*")

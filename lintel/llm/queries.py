@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, mixing, pii, quality, sharding
+from . import decontaminate, edit_counts, jaccard, language, licenses, mixing, packing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op2_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -51,6 +55,22 @@ def op7_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def _masks(text: str) -> list[edit_counts.Edit]:
+    """Edits that mask personal data and cut lines that stood before."""
+    edits = [edit_counts.Edit(start, end, f"[{kind.upper()}]") for part in pii.find(text) for kind, start, end in part]
+    seen, at = set(), 0
+    for line in text.split("\n"):
+        if line.strip() and line in seen:
+            edits.append(edit_counts.Edit(at, at + len(line) + 1, ""))
+        seen.add(line)
+        at += len(line) + 1
+    return edits
+
+
+def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.count_edited(_table(spark, sf_dir, "documents"), _masks).drop("leaf_starts", "tree")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     found = decontaminate.scan(docs.select("doc_id", "text"), benchmark)
@@ -64,7 +84,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_identify_language, op2_shard_by_splitters, op4_license_scan, op5_ngram_jaccard_join, op6_quality_rules, op7_deobfuscate_pii, op9_decontaminate, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_identify_language, op2_shard_by_splitters, op3_pack_tokens, op4_license_scan, op5_ngram_jaccard_join, op6_quality_rules, op7_deobfuscate_pii, op8_edit_aware_counts, op9_decontaminate, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
