@@ -77,19 +77,19 @@ def scan(docs: DataFrame, text: str = "text", rules: list[Signature] | None = No
     keywords = F.from_json(F.lit(json.dumps(sorted({r.keyword for r in rules}))), "array<string>")
     levels = max((r.priority for r in rules), default=0) + 1
     body = F.coalesce(F.col(text), F.lit(""))
-    lowered = F.col("license_low")
+    lowered = F.col("__license_low")
     terms = [lowered.contains(term) for term in GATE]
     gate = reduce(lambda a, b: a | b, terms) | (lowered.contains("cc") & lowered.rlike(GATE_SPLIT))
     norm = F.regexp_replace(F.concat(F.lit(" "), F.translate(body, string.ascii_uppercase, string.ascii_lowercase), F.lit(" ")), SEPARATORS, " ")
-    one = docs.withColumn("license_words", F.regexp_count(body, F.lit(WORD_ANY_CASE)).cast("long")).withColumn("license_low", F.lower(body)).withColumn("license_norm", F.when(gate, norm)).drop("license_low")
-    words = F.col("license_norm")
+    one = docs.withColumn("license_words", F.regexp_count(body, F.lit(WORD_ANY_CASE)).cast("long")).withColumn("__license_low", F.lower(body)).withColumn("__license_norm", F.when(gate, norm)).drop("__license_low")
+    words = F.col("__license_norm")
     present = F.filter(keywords, lambda k: words.contains(k))
     active = let(present, lambda have: F.filter(table, lambda r: F.array_contains(have, r["keyword"])))
     every = F.flatten(F.transform(active, lambda r: _intervals(words, r)))
     hits = F.when(words.isNotNull(), every).otherwise(F.array().cast(HIT))
-    two = one.withColumn("license_all", hits)
-    found = F.when(F.size("license_all") > 0, _unsuppressed(F.col("license_all"), levels)).otherwise(F.array().cast(HIT))
-    return two.withColumn("license_found", found).withColumn("license_hits", F.filter("license_all", lambda h: h["base"])).drop("license_all", "license_norm")
+    two = one.withColumn("__license_all", hits)
+    found = F.when(F.size("__license_all") > 0, _unsuppressed(F.col("__license_all"), levels)).otherwise(F.array().cast(HIT))
+    return two.withColumn("license_found", found).withColumn("license_hits", F.filter("__license_all", lambda h: h["base"])).drop("__license_all", "__license_norm")
 
 
 def summary(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -32,12 +32,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
     cycle = F.array(*map(F.lit, weights))
     ranked = sizes.select("source", "source_size", F.get(cycle, ((F.row_number().over(in_order) - 1) % len(weights)).cast("int")).cast("double").alias("w"), (F.lit(float(most)) * F.col("source_size")).alias("cap"))
     everything = Window.partitionBy()
-    before = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), zero)) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), zero))
-    leveled = ranked.withColumn("budget", F.sum("source_size").over(everything) * (share_percent / 100.0)).withColumn("all_w", F.sum("w").over(everything)).withColumn("level", level)
-    ratio = F.col("cap") / F.col("w")
-    holds = F.min(F.when(F.col("level") <= ratio, F.struct(ratio.alias("ratio"), F.col("level")))).over(everything)["level"]
+    leveled = ranked.withColumn("budget", F.sum("source_size").over(everything) * (share_percent / 100.0)).withColumn("all_w", F.sum("w").over(everything)).withColumn("level", level).withColumn("place", F.row_number().over(by_ratio))
+    first = F.struct(F.col("place"), F.col("level"))
+    holds = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), first)).over(everything)["level"]
     return leveled.withColumn("holds", holds).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("holds") * F.col("w"), F.col("cap"))).alias("target"))
 
 
