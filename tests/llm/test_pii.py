@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lintel.llm import pii
+
+from .conftest import odd_rows
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(s[::-1])) % 10 == 0
+
+
+def brute(text):
+    found = [("email", m) for m in EMAIL.finditer(text)]
+    found += [("ip", m) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [("card", m) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    found += [("phone", m) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(((k, m.start(), m.end()) for k, m in found), key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a.@+-() 0123459%_\n", max_size=60))
+def test_plain_matches_the_patterns(text):
+    assert pii.plain(text) == brute(text)
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1111", "+1 (743) 555-3824 call", "a@b.c@d.e", "1.2.3.4.5", "300.1.1.1 1.1.1.1", "x@y", "a@b..c", "9" * 40, "@@a@b.c"])
+def test_plain_cases(text):
+    assert pii.plain(text) == brute(text)
+
+
+@pytest.mark.parametrize(
+    "text,kind,held",
+    [
+        ("mail me: bob (at) example [dot] com now", "email", "bob (at) example [dot] com"),
+        ("john at mail dot example dot com please", "email", "john at mail dot example dot com"),
+        ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+        ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("a​b@c​.de x", "email", "a​b@c​.de"),
+        ("call plus one five five five one two three four five six seven ok", "phone", "plus one five five five one two three four five six seven"),
+        ("１９２.168.0.1", "ip", "１９２.168.0.1"),
+        ("card four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
+    ],
+)
+def test_disguises(text, kind, held):
+    base, more = pii.find(text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in more] == [(kind, held)]
+
+
+@pytest.mark.parametrize("text", ["look at the dot on the map", "one two three and four", "meet at noon dot matrix printers", "plain prose, nothing here", "nine lives at home"])
+def test_prose_is_left_alone(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_long_runs_are_linear():
+    assert pii.find("a" * 300_000 + "@") == ([], [])
+    assert pii.find("1" * 300_000 + ".") [0] == []
+
+
+def test_spark(spark, odd, empty):
+    found = pii.detect(odd)
+    assert found.count() == len(odd_rows())
+    docs = spark.createDataFrame([(1, "write to a@b.de or bob (at) x [dot] org", 5), (2, None, 5), (3, "", 5)], "doc_id long, text string, spans int")
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == ["write to [EMAIL] or [EMAIL]", None, ""]
+    assert pii.redact(docs).columns == docs.columns
+    assert pii.detect(empty).count() == 0 and pii.redact(empty).count() == 0
