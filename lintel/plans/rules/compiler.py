@@ -22,7 +22,6 @@ from .model import Check, Condition, Rule, RuleError
 
 #: Target types in the order of a structured document.
 TARGETS = ("station", "fire_compartment", "exit_pair", "door", "corridor", "evac_distance_line", "shop", "shop_pair", "vent_pair", "fire_shutter", "building_clearance")
-FALSE, TRUE = F.lit(False), F.lit(True)
 
 
 @dataclass(frozen=True)
@@ -53,7 +52,7 @@ def _none(kind: str) -> Column:
 
 
 def _absent() -> Value:
-    return Value(FALSE, FALSE, _none("double"), _none("string"), F.lit("other"), _none("string"))
+    return Value(F.lit(False), F.lit(False), _none("double"), _none("string"), F.lit("other"), _none("string"))
 
 
 def shown_number(x: Column) -> Column:
@@ -79,12 +78,12 @@ def typed_view(struct: Column, schema: T.StructType) -> View:
         column, kind = found
         null = column.isNull()
         if isinstance(kind, T.BooleanType):
-            return Value(TRUE, null, column.cast("double"), _none("string"), F.lit("bool"), F.when(column, "True").when(~column, "False"))
+            return Value(F.lit(True), null, column.cast("double"), _none("string"), F.lit("bool"), F.when(column, "True").when(~column, "False"))
         if isinstance(kind, T.NumericType):
-            return Value(TRUE, null, column.cast("double"), _none("string"), F.lit("num"), shown_number(column) if isinstance(kind, T.FractionalType) else column.cast("string"))
+            return Value(F.lit(True), null, column.cast("double"), _none("string"), F.lit("num"), shown_number(column) if isinstance(kind, T.FractionalType) else column.cast("string"))
         if isinstance(kind, T.StringType):
-            return Value(TRUE, null, _none("double"), column, F.lit("text"), column)
-        return Value(TRUE, null, _none("double"), _none("string"), F.lit("list" if isinstance(kind, T.ArrayType) else "other"), F.to_json(column))
+            return Value(F.lit(True), null, _none("double"), column, F.lit("text"), column)
+        return Value(F.lit(True), null, _none("double"), _none("string"), F.lit("list" if isinstance(kind, T.ArrayType) else "other"), F.to_json(column))
 
     def items(path: str) -> tuple[Column, Callable[[Column], View]]:
         found = find(path)
@@ -103,7 +102,7 @@ def json_view(document: Column) -> View:
     def value(path: str) -> Value:
         at = F.try_variant_get(parsed, f"$.{path}", "variant")
         kind = F.schema_of_variant(at)
-        null = F.coalesce(F.is_variant_null(at), FALSE)
+        null = F.coalesce(F.is_variant_null(at), F.lit(False))
         literal = F.get_json_object(document, f"$.{path}")
         number, truth, text = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), kind == "BOOLEAN", kind == "STRING"
         flag = F.try_variant_get(at, "$", "boolean")
@@ -127,9 +126,9 @@ def _equal(v: Value, literal: Any) -> Column:
     if literal is None:
         return v.null
     if isinstance(literal, bool | int | float):
-        return F.coalesce(v.given & (v.num == float(literal)), FALSE)
+        return F.coalesce(v.given & (v.num == float(literal)), F.lit(False))
     if isinstance(literal, str):
-        return F.coalesce(v.given & (v.text == literal), FALSE)
+        return F.coalesce(v.given & (v.text == literal), F.lit(False))
     raise RuleError(f"no equality with {literal!r}")
 
 
@@ -144,7 +143,7 @@ def _op(v: Value, op: str, literal: Any) -> Column:
     if op in ("eq", "ne"):
         return _equal(v, literal) if op == "eq" else ~_equal(v, literal)
     if op in ("in", "not_in"):
-        found = reduce(lambda a, b: a | b, (_equal(v, x) for x in literal), FALSE)
+        found = reduce(lambda a, b: a | b, (_equal(v, x) for x in literal), F.lit(False))
         return found if op == "in" else ~found
     return _ordered(v, op, literal)
 
@@ -158,13 +157,13 @@ def condition(c: Condition, views: dict[str, View]) -> Column:
     """A missing path makes any condition false; a null is compared; what cannot be ordered is false."""
     root, rest = _root(c.path)
     if root not in views or not rest:
-        return FALSE
+        return F.lit(False)
     v = views[root].value(rest)
-    return v.present & F.coalesce(_op(v, c.op, c.value), FALSE)
+    return v.present & F.coalesce(_op(v, c.op, c.value), F.lit(False))
 
 
 def conditions(cs: tuple[Condition, ...], views: dict[str, View]) -> Column:
-    return reduce(lambda a, b: a & b, (condition(c, views) for c in cs), TRUE)
+    return reduce(lambda a, b: a & b, (condition(c, views) for c in cs), F.lit(True))
 
 
 OUTCOME = "struct<passed:boolean,value:string,value_num:double,threshold:string,threshold_num:double,reason:string>"
@@ -202,7 +201,7 @@ def _compare(check: Check, views: dict[str, View]) -> Column:
     scaled = F.try_divide(t.num, F.lit(float(check.divisor))) if check.divisor is not None else t.num * float(check.scale)
     limit = F.round(F.least(scaled, F.lit(float(check.cap))) if check.cap is not None else scaled, 3)
     shown = shown_number(limit) if check.cap is None else F.when(scaled > float(check.cap), str(check.cap)).otherwise(shown_number(limit))
-    compared = {"lt": v.num < limit, "le": v.num <= limit, "gt": v.num > limit, "ge": v.num >= limit, "eq": F.coalesce(v.num == limit, FALSE), "ne": ~F.coalesce(v.num == limit, FALSE)}
+    compared = {"lt": v.num < limit, "le": v.num <= limit, "gt": v.num > limit, "ge": v.num >= limit, "eq": F.coalesce(v.num == limit, F.lit(False)), "ne": ~F.coalesce(v.num == limit, F.lit(False))}
     if check.op not in compared:
         raise RuleError(f"a threshold path does not go with {check.op}")
     passed = compared[check.op]
@@ -238,7 +237,7 @@ def _collection(check: Check, views: dict[str, View]) -> Column:
 
 
 def _ordered_or_equal(n: Column, op: str, literal: Any) -> Column:
-    value = Value(TRUE, FALSE, n, _none("string"), F.lit("num"), n.cast("string"))
+    value = Value(F.lit(True), F.lit(False), n, _none("string"), F.lit("num"), n.cast("string"))
     return _op(value, op, literal)
 
 

@@ -48,7 +48,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         "box",
         "polygon",
         "polyline",
-        F.col("_corrupt_record").alias("corrupt"),
+        # with another column beside it, as the reader refuses queries for the corrupt record alone
+        F.when(F.col("_name").isNull(), F.col("_corrupt_record")).alias("corrupt"),
     ).withColumn("doc_id", F.concat_ws("#", "file", F.col("image_ord").cast("string")))
 
 
