@@ -71,32 +71,27 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(let(hashed, windows)).cast("long")
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `measures`: counts and ratios of each whole text (null: as empty).
-
-    A ratio with an empty denominator is null, and a null measure fails no rule. Other columns stay as they are.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("measures", F.struct(plain_words(body).alias("words"), F.filter(F.split(body, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines")))
-    words, lines = F.col("measures.words"), F.col("measures.lines")
+def _counts(words: Column, lines: Column, text: Column) -> Column:
     n_words, n_lines = F.size(words).cast("long"), F.size(lines).cast("long")
-    share = lambda part, whole: F.try_divide(part.cast("double"), whole)
-    matching = lambda items, test: F.size(F.filter(items, test))
-    counts = F.struct(
+    share = lambda items, test: F.try_divide(F.size(F.filter(items, test)).cast("double"), F.size(items))
+    return F.struct(
         n_words.alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (n_lines - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         _repeated_words(words).alias("n_repeat_words"),
         n_lines.alias("n_lines"),
-        share(matching(words, lambda w: F.lower(w).isin(STOP_WORDS)), n_words).alias("stop_word_ratio"),
-        share(matching(words, lambda w: w.rlike("[A-Za-z\\x{80}-\\x{10FFFF}]")), n_words).alias("letter_word_ratio"),
-        share(matching(words, lambda w: w.rlike("^[^a-z\\x{80}-\\x{10FFFF}]*[A-Z]{2}[^a-z\\x{80}-\\x{10FFFF}]*$")), n_words).alias("upper_word_ratio"),
-        share(matching(lines, lambda s: s.rlike("(\\.\\.\\.|\\x{2026})[\\x20\\x09-\\x0D]*$")), n_lines).alias("ellipsis_line_ratio"),
-        share(matching(lines, lambda s: s.rlike("^[\\x20\\x09]*[-*\\x{2022}]")), n_lines).alias("bullet_line_ratio"),
+        share(words, lambda w: F.lower(w).isin(STOP_WORDS)).alias("stop_word_ratio"),
+        share(words, lambda w: w.rlike("[A-Za-z\\x{80}-\\x{10FFFF}]")).alias("letter_word_ratio"),
+        share(words, lambda w: w.rlike("^[^a-z\\x{80}-\\x{10FFFF}]*[A-Z]{2}[^a-z\\x{80}-\\x{10FFFF}]*$")).alias("upper_word_ratio"),
+        share(lines, lambda s: s.rlike("(\\.\\.\\.|\\x{2026})[\\x20\\x09-\\x0D]*$")).alias("ellipsis_line_ratio"),
+        share(lines, lambda s: s.rlike("^[\\x20\\x09]*[-*\\x{2022}]")).alias("bullet_line_ratio"),
     )
-    ratios = lambda m: m.withField("mean_word_length", share(m["word_chars"], m["n_words"])).withField("symbol_ratio", share(m["n_symbols"], m["n_words"])).withField("dup_line_ratio", share(m["n_dup_lines"], m["n_lines"]))
-    return step.withColumn("measures", let(counts, ratios))
+
+
+def _with_ratios(m: Column) -> Column:
+    share = lambda part, whole: F.try_divide(m[part].cast("double"), m[whole])
+    return m.withField("mean_word_length", share("word_chars", "n_words")).withField("symbol_ratio", share("n_symbols", "n_words")).withField("dup_line_ratio", share("n_dup_lines", "n_lines"))
 
 
 def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -113,20 +108,28 @@ def base_failed(m: Column, least_words: int = 10, most_repeat_percent: int = 20)
     return (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeat_percent * m["n_words"])
 
 
+def quality_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the counts and ratios of a whole text, base_failed, kept and the broken rules, as one expression.
+
+    Each step is bound once and read by the next, so a filter on the result does not repeat what it stands on. A ratio
+    with an empty denominator is null, and a null measure breaks no rule.
+    """
+    body = F.coalesce(text, F.lit(""))
+    parts = F.struct(plain_words(body).alias("words"), F.filter(F.split(body, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
+    judged = lambda m: m.withField("base_failed", base_failed(m)).withField("broken", verdict(m, rules))
+    ended = lambda q: q.withField("kept", ~q["base_failed"] & (F.size(q["broken"]) == 0))
+    return let(parts, lambda p: let(_counts(p["words"], p["lines"], body), lambda c: let(_with_ratios(c), lambda m: let(judged(m), ended))))
+
+
 def assess(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with a struct column `quality`: n_words, the counts, base_failed, kept and the broken rules.
 
     One projection, no shuffle. Null or empty text has no words: base_failed, not kept. Repeated rows are judged
-    alike; further columns stay, and a column already called `quality` or `measures` is replaced.
+    alike; further columns stay, and a column already called `quality` is replaced.
     """
-    m, q = F.col("measures"), F.col("quality")
-    judged = m.withField("base_failed", base_failed(m)).withField("broken", verdict(m, rules))
-    out = measures(docs, text).withColumn("quality", judged)
-    return out.withColumn("quality", q.withField("kept", ~q["base_failed"] & (F.size(q["broken"]) == 0))).drop("measures")
+    return docs.withColumn("quality", quality_of(F.col(text), rules))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with the columns of docs. Row order and repeated rows stay."""
-    names = docs.columns
-    inside = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"))
-    return assess(inside, "text", rules).where("quality.kept").select("row.*")
+    return docs.where(quality_of(F.col(text), rules)["kept"])
