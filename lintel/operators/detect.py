@@ -70,27 +70,37 @@ def nms(detections: DataFrame, most: float = 0.5, by: Sequence[str] = ("doc_id",
     return detections.groupBy(*by).applyInPandas(group, detections.schema)
 
 
-def clusters(boxes: DataFrame, on: Sequence[str] = ("doc_id",), key: str = "ord", gap: float = 12, members: int = 4, width: tuple[float, float] = (8, 1200), height: tuple[float, float] = (6, float("inf")), rounds: int = 200) -> DataFrame:
+def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and for each the smallest that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        after = label.copy()
+        for side in (label[left], label[right]):
+            np.minimum.at(after, side, low)
+        after = after[after]
+        if (after == label).all():
+            return nodes, nodes[label]
+        label = after
+
+
+def clusters(boxes: DataFrame, on: Sequence[str] = ("doc_id",), key: str = "ord", gap: float = 12, members: int = 4, width: tuple[float, float] = (8, 1200), height: tuple[float, float] = (6, float("inf"))) -> DataFrame:
     """(on, cluster, n, x0, y0, x1, y1): connected boxes, of at least so many members and within a size.
 
-    Neighbours come from a join on cells; labels then spread along them until none changes, each round going on from
-    the label that a label has itself, so rounds grow with the logarithm of a chain.
+    Neighbours come from a join on cells; a drawing's links then meet in one Arrow group, which holds as many of them as
+    one drawing has and nothing else.
     """
     links = blocked_overlap_join(boxes, on, key, gap)
-    both = links.unionByName(links.select(*on, F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.persist()
-    now = boxes.select(*on, F.col(key).alias("k"), F.col(key).alias("l"))
-    for _ in range(rounds):
-        labels = now.select(*on, F.col("k").alias("b"), F.col("l").alias("near"))
-        least = both.join(labels, [*on, "b"]).groupBy(*on, F.col("a").alias("k")).agg(F.min("near").alias("near"))
-        lower = now.join(least, [*on, "k"], "left").select(*on, "k", F.least("l", F.coalesce("near", "l")).alias("l"))
-        jump = lower.select(*on, F.col("k").alias("l"), F.col("l").alias("up"))
-        after = lower.join(jump, [*on, "l"]).select(*on, "k", F.col("up").alias("l")).persist()
-        changed = after.join(now.withColumnRenamed("l", "was"), [*on, "k"]).where("l <> was").limit(1).count()
-        now = after
-        if not changed:
-            break
-    grouped = boxes.withColumn("k", F.col(key)).join(now, [*on, "k"]).groupBy(*on, F.col("l").alias("cluster")).agg(F.count("*").alias("n"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
+    kinds = ", ".join(f"`{c}` {links.schema[c].dataType.simpleString()}" for c in on)
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, labels = components(rows["a"].to_numpy(), rows["b"].to_numpy())
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] * len(nodes) for c in on}, "k": nodes, "l": labels})
+
+    labelled = links.groupBy(*on).applyInPandas(group, f"{kinds}, k {links.schema['a'].dataType.simpleString()}, l {links.schema['a'].dataType.simpleString()}")
+    joined = boxes.withColumn("k", F.col(key)).join(labelled, [*on, "k"], "left").withColumn("cluster", F.coalesce("l", "k"))
+    grouped = joined.groupBy(*on, "cluster").agg(F.count("*").alias("n"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
     return grouped.where((F.col("n") >= members) & (F.col("x1") - F.col("x0")).between(*width) & (F.col("y1") - F.col("y0")).between(*height))
 
 
