@@ -130,7 +130,26 @@ def _written(text: str) -> list[Edit]:
 
 #: A transducer lists the edits of a text; they are run one after the other.
 TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (_characters, _spelled, _written)
-_HINT = re.compile(rf"(?i)[\[({{<] ?(?:at|@|arroba|chez|ät|dot|punkt|point|punto|\.) ?[\])}}>]| dot |{_DIGIT}[ .,-]{{1,2}}{_DIGIT}[ .,-]{{1,2}}{_DIGIT}(?!\w)")
+_BRACKETED = re.compile(r"(?i)[\[({<] ?(?:at|@|arroba|chez|ät|dot|punkt|point|punto|\.) ?[\])}>]")
+_DIGITS_APART = re.compile(r"[0-9][ .,-]{1,2}[0-9]")
+_THREE_DIGITS = re.compile(rf"(?i){_DIGIT}[ .,-]{{1,2}}{_DIGIT}[ .,-]{{1,2}}{_DIGIT}(?!\w)")
+
+
+def _may_hide(text: str) -> bool:
+    """Whether some transducer may find something. Cheap tests come first; of four spelled digits in a row, the inner two stand apart as words or digits."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+            odd = "\xa0" in text or "\xad" in text
+        except UnicodeEncodeError:
+            odd = _disguised().search(text) is not None
+        if odd:
+            return True
+    lower = text.lower()
+    if " dot " in lower or _BRACKETED.search(text):
+        return True
+    words = lower.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    return (not DIGIT_WORDS.keys().isdisjoint(words) or _DIGITS_APART.search(text) is not None) and _THREE_DIGITS.search(text) is not None
 
 
 def rewritten(text: str) -> tuple[str, list[int], list[int], list[bool]]:
@@ -158,7 +177,7 @@ def rewritten(text: str) -> tuple[str, list[int], list[int], list[bool]]:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """The plain identifiers of a text, and the disguised ones, as source spans. A disguised one touches no plain one."""
     base = plain(text)
-    if not (_HINT.search(text) or (not text.isascii() and _disguised().search(text))):
+    if not _may_hide(text):
         return base, []
     clear, starts, ends, changed = rewritten(text)
     if not any(changed) and clear == text:
