@@ -44,3 +44,20 @@ def drawing_to_annotation(drawings: DataFrame, annotations: DataFrame) -> DataFr
     pairs = told(drawings, "d").join(told(annotations, "a"), "station")
     other = F.when(F.col("d_kind") == F.col("a_kind"), 0).otherwise(1)
     return _best(pairs, ["d"], [other, F.col("a")]).select(F.col("d").alias("path"), F.col("a").alias("match"))
+
+
+def values_to_numbers(findings: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Findings (doc_id, value_num, ...) with `box`: that of the read number (doc_id, num_ord, value, box) equal to two digits, else to one; the first of several."""
+    rows = findings.withColumn("__id", F.xxhash64(*(c for c in findings.columns)))
+    joined = rows.join(numbers.select("doc_id", "num_ord", F.col("value").alias("read"), "box"), "doc_id", "left")
+    close = F.when(F.round("value_num", 2) == F.round("read", 2), 0).when(F.round("value_num", 1) == F.round("read", 1), 1)
+    best = F.min(F.when(close.isNotNull(), F.struct(close.alias("c"), "num_ord", "box"))).alias("best")
+    return joined.groupBy(*findings.columns, "__id").agg(best).select(*findings.columns, F.col("best.box").alias("box"))
+
+
+def results_of_images(images: DataFrame, results: DataFrame) -> DataFrame:
+    """(image, result): each image name with the result of its name, else one whose name holds its stem, else of its stem, else the first by name."""
+    pairs = images.select("image", tx.stem(F.col("image")).alias("stem")).join(results.select("name", "result"), F.lit(True))
+    own = tx.stem(F.col("name"))
+    rank = F.when(F.col("name") == F.col("image"), 0).when(F.contains("name", F.col("stem")), 1).when(own == F.col("stem"), 2).otherwise(3)
+    return _best(pairs, ["image"], [rank, F.col("name")]).select("image", "result")

@@ -177,3 +177,19 @@ def with_effective_exits(compartments: DataFrame, doors: DataFrame) -> DataFrame
     item = F.struct(F.col("id"), F.lit("other").alias("leads_to"), F.lit(None).cast("string").alias("direction_group"), "zone", F.lit(None).cast("string").alias("pair_id"), F.lit(None).cast("array<double>").alias("center_px"))
     open_doors = doors.where("is_always_open and is_on_firewall and class = '甲级'").groupBy("doc_id", F.col("zone").alias("zone_type")).agg(F.collect_list(item).alias("more"))
     return compartments.join(open_doors, ["doc_id", "zone_type"], "left").withColumn("effective_exits", F.concat("exits", F.coalesce("more", F.array().cast(compartments.schema["exits"].dataType)))).select(*compartments.columns)
+
+
+def vent_pairs(shapes: DataFrame, scales: DataFrame, higher: DataFrame | None = None) -> DataFrame:
+    """Opt-in: each fresh-air vent of a drawing with each exhaust or piston vent, and their distance.
+
+    higher gives (doc_id, ord, height) of vents where it is known; without it the height rule asks for review.
+    """
+    vents = _of(shapes, "vent_group_ground", "polygon", 3).select("doc_id", "ord", F.col("points").alias("ring"), attr("vent_function").alias("use"), attr("name").alias("name"))
+    vents = vents.join(higher, ["doc_id", "ord"], "left") if higher is not None else vents.withColumn("height", F.lit(None).cast("double"))
+    named = vents.withColumn("vent_id", F.when(F.col("name") != "", F.col("name")).otherwise(F.format_string("VENT-%02d", F.col("ord") + 1)))
+    side = lambda p: named.select("doc_id", *(F.col(c).alias(f"{p}_{c}") for c in ("ord", "ring", "use", "vent_id", "height")))
+    pairs = side("f").where("f_use = '新风'").join(side("o").where(F.col("o_use").isin("排风", "活塞风")), "doc_id").join(scales.select("doc_id", "scale"), "doc_id", "left")
+    return pairs.select(
+        "doc_id", (F.col("f_ord") * 100_000 + F.col("o_ord")).alias("ord"), F.concat_ws("-", F.lit("VP"), (F.col("f_ord") + 1).cast("string"), (F.col("o_ord") + 1).cast("string")).alias("id"), F.lit("fresh_vs_exhaust_or_piston").alias("kind"),
+        F.col("f_vent_id").alias("fresh_id"), F.col("o_vent_id").alias("other_id"), (g.polygons_distance(F.col("f_ring"), F.col("o_ring")) * F.col("scale")).alias("distance_m"), (F.col("o_height") > F.col("f_height")).alias("is_exhaust_higher"),
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import lookup
 from ..functions.text import shortened
 from .opinions import OPINIONS
+from .rules.model import Condition, Rule
 
 
 def _counts() -> list[Column]:
@@ -94,3 +95,45 @@ def browse(rules: DataFrame, category: str | None = None, words: str = "") -> Da
 def catalogue(rules: DataFrame) -> DataFrame:
     """(n, categories, mandatory) of a rule table."""
     return rules.agg(F.count("*").alias("n"), F.count_distinct("category").alias("categories"), F.count_if("mandatory").alias("mandatory"))
+
+
+_SIGNS = {"le": "≤", "ge": "≥", "lt": "<", "gt": ">", "eq": "=", "ne": "≠", "in": "∈", "not_in": "∉"}
+
+
+def _written(c: Condition) -> str:
+    value = "{" + ", ".join(map(str, c.value)) + "}" if isinstance(c.value, tuple) else str(c.value)
+    return f"{c.path} {_SIGNS[c.op]} {value}"
+
+
+def describe(rule: Rule) -> str:
+    """A rule's check in one line."""
+    c = rule.check
+    if c.threshold_path:
+        limit = c.threshold_path + (f" / {c.divisor:g}" if c.divisor else f" × {c.scale:g}" if c.scale != 1 else "")
+        limit = f"min({limit}, {c.cap:g})" if c.cap is not None else limit
+    else:
+        limit = str(c.threshold)
+    subject = {"compare": c.path, "count": f"count({c.path})", "sum_aggregate": f"sum({c.path}.{c.field})"}[c.kind]
+    chosen = f" where {' and '.join(map(_written, c.where))}" if c.where else ""
+    return f"{subject}{chosen} {_SIGNS[c.op]} {limit}"
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """Rules as rows, with their conditions and checks written out, for browse() and catalogue()."""
+    rows = [(i, r.rule_id, r.name, r.category, r.target, " and ".join(map(_written, r.applies_when)), describe(r), r.check.op, r.severity, r.mandatory, r.source) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_ord int, rule_id string, name string, category string, target string, applies string, requirement string, op string, severity string, mandatory boolean, source string")
+
+
+#: The shapes that targets come from: label, geometry and the form of their ids.
+_SHAPES = {"fire_compartment": ("fire_compartment", "polygon", "FC-%02d"), "door": ("fire_door", "box", "DR-%03d"), "shop": ("commercial_shop", "polygon", "SHOP-%02d"), "fire_shutter": ("fire_shutter", "box", "FS-%02d"), "evac_distance_line": ("evac_distance_line", "polyline", "EVAC-%02d"), "building_clearance": ("surrounding_building", "polygon", "BC-%02d")}
+
+
+def marked_shapes(marked: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Marks with the geometry that they belong on: the shape of the target's label and number, by its own geometry."""
+    out = None
+    for target, (label, geom, form) in _SHAPES.items():
+        least = 3 if geom == "polygon" and label != "commercial_shop" else 1
+        own = shapes.where((F.col("label") == label) & (F.col("geom") == geom) & (F.size("points") >= least))
+        numbered = own.select("doc_id", "ord", "points", F.lit(target).alias("target_type"), F.format_string(form, F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).alias("target_id"))
+        out = numbered if out is None else out.unionByName(numbered)
+    return marked.join(out, ["doc_id", "target_type", "target_id"])

@@ -103,3 +103,9 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path")
     name = F.substring_index("path", "/", -1)
     return files.select("path", name.alias("name"), F.regexp_replace(name, "\\.[^.]*$", "").alias("stem"))
+
+
+def read_training_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each epoch of a training log in CSV, numbers as doubles and names trimmed."""
+    raw = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
+    return raw.select(*(F.col(f"`{c}`").try_cast("double").alias(c.strip()) for c in raw.columns))
