@@ -48,7 +48,9 @@ def _part(h: Column, level: int) -> Column:
 
 
 def _hash(key: Column, text: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), text, F.lit(""))), F.lit(1 << (BITS * LEVELS))).cast("long")
+    """The first BITS * LEVELS bits of an md5."""
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(key.cast("string"), text, F.lit(""))))
+    return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - BITS * LEVELS)
 
 
 def _copies(h: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edit_counts, jaccard, language, licenses, mixing, packing, pii, quality, sharding
+from . import decontaminate, edit_counts, jaccard, language, licenses, mixing, oracles, packing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,4 +88,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
