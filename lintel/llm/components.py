@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .shared import settle
+from .shared import if_small, settle
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +59,11 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written apart, so that the join with a centre of many edges can be broadcast, or split by partition
+        lowest = if_small(settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "edges-low"))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = settle(large, "edges-large")
+        least = if_small(settle(large.groupBy("a").agg(F.min("b").alias("m")), "edges-low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = settle(small.where("a <> b").distinct(), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
