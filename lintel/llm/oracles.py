@@ -30,7 +30,7 @@ def quality() -> str:
     tests = []
     for rule in RULES:
         parts = [f"{rule.measure} {sign} {limit}" for sign, limit in (("<", rule.least), (">", rule.most)) if limit is not None]
-        tests.append(f"CASE WHEN {' OR '.join(parts)} THEN '{rule.name}' END")
+        tests.append(f"CASE WHEN n_words >= {rule.from_words} AND ({' OR '.join(parts)}) THEN '{rule.name}' END")
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),

@@ -22,12 +22,13 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails where the measure is under least or over most."""
+    """A document of from_words words or more fails where the measure is under least or over most."""
 
     name: str
     measure: str
     least: float | None = None
     most: float | None = None
+    from_words: int = 0
 
 
 #: The threshold table. Measures are columns of measures().
@@ -35,7 +36,7 @@ RULES = (
     Rule("mean_word_length", "mean_word_length", 1.5, 20.0),
     Rule("symbol_ratio", "symbol_ratio", None, 0.3),
     Rule("letter_word_ratio", "letter_word_ratio", 0.5, None),
-    Rule("stop_word_ratio", "stop_word_ratio", 0.005, None),
+    Rule("stop_word_ratio", "stop_word_ratio", 0.005, None, from_words=20),
     Rule("dup_line_ratio", "dup_line_ratio", None, 0.5),
     Rule("ellipsis_line_ratio", "ellipsis_line_ratio", None, 0.5),
     Rule("bullet_line_ratio", "bullet_line_ratio", None, 0.9),
@@ -100,7 +101,7 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     for rule in rules:
         under = m[rule.measure] < F.lit(rule.least) if rule.least is not None else F.lit(False)
         over = m[rule.measure] > F.lit(rule.most) if rule.most is not None else F.lit(False)
-        broken.append(F.when(F.coalesce(under | over, F.lit(False)), F.lit(rule.name)))
+        broken.append(F.when(F.coalesce((under | over) & (m["n_words"] >= rule.from_words), F.lit(False)), F.lit(rule.name)))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 

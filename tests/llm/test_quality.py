@@ -51,7 +51,12 @@ def test_plan_has_no_user_function_and_no_shuffle(odd):
     assert not re.search("Python|Arrow", plan)
 
 
-@pytest.mark.parametrize("text,rule", [("### &&& %%% $$$ *** ### the and of to in is", "symbol_ratio"), ("zzqx " * 3 + "qqq www eee rrr ttt yyy uuu iii", "stop_word_ratio"), ("THE!! AND!! OF!! TO!! IN!! IS!! FOR!! ON!! AT!! BY!!", "upper_word_ratio")])
+@pytest.mark.parametrize("text,rule", [("### &&& %%% $$$ *** ### the and of to in is", "symbol_ratio"), (" ".join(f"zz{c}qx" for c in "abcdefghijklmnopqrstuvwxy"), "stop_word_ratio"), ("THE!! AND!! OF!! TO!! IN!! IS!! FOR!! ON!! AT!! BY!!", "upper_word_ratio")])
 def test_rules(spark, text, rule):
     broken = quality.assess(spark.createDataFrame([(text,)], "text string")).select("quality.broken").first()[0]
     assert rule in broken
+
+
+def test_short_texts_need_no_stop_words(spark):
+    text = "üau heit ie enie chö enkeitstau enchentz schungen qaz wsx"
+    assert quality.keep_good(spark.createDataFrame([(text,)], "text string")).count() == 1
