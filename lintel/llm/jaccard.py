@@ -34,7 +34,7 @@ BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 64
 #: Entries that a task gathers before it deals them out.
 FLUSH = 1 << 20
 #: Documents and columns of the full product's blocks.
-DOC_BLOCK, COLUMN_BLOCK = 512, 8_192
+DOC_BLOCK, COLUMN_BLOCK = 256, 8_192
 #: N-grams beyond the prefix whose frequency is counted, as a part of a document.
 MARGIN = 0.15
 _ALWAYS = 1 << 30
