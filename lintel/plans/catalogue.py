@@ -327,15 +327,13 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.tile_grid(images, 1024, 200, ["p_partkey"]).select("p_partkey", *(F.col(c).cast("long").alias(c) for c in ("tx", "ty", "tw", "th")))
 
 
-@_query(f"""WITH c AS (SELECT vec_id, list_transform(p, lambda q: {{'x': greatest(-1.0, least(q.x, 0.5)) + 1.0, 'y': greatest(-1.0, least(q.y, 0.5)) + 1.0}}) AS p FROM (SELECT vec_id, list_transform(p, lambda q: {{'x': q.x * 100, 'y': q.y * 100}}) AS p FROM ({_P})))
-SELECT vec_id, round(abs(list_sum(list_transform(range(0, len(p)), lambda i: p[i + 1].x * p[(i + 1) % len(p) + 1].y - p[(i + 1) % len(p) + 1].x * p[i + 1].y))) / 2, 6) AS area FROM c""")
+@_query(f"""WITH c AS (SELECT vec_id, list_transform(p, lambda q: {{'x': greatest(-4.0, least(q.x * 400, 2.0)) + 4.0, 'y': greatest(-4.0, least(q.y * 400, 2.0)) + 4.0}}) AS p FROM ({_P})),
+s AS (SELECT *, list_transform(p, lambda q: q.x) AS xs, list_transform(p, lambda q: q.y) AS ys FROM c)
+SELECT vec_id, CASE WHEN list_max(xs) - list_min(xs) >= 3 AND list_max(ys) - list_min(ys) >= 3 THEN round(abs(list_sum(list_transform(range(0, len(p)), lambda i: p[i + 1].x * p[(i + 1) % len(p) + 1].y - p[(i + 1) % len(p) + 1].x * p[i + 1].y))) / 2, 6) END AS area FROM s""")
 def tile_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grown = F.transform("points", lambda p: g.point(p["x"] * 100, p["y"] * 100))
-    low, high = F.lit(-1.0), F.lit(0.5)
-    # the tile is smaller than the least kept size, so it is scaled by 4 and the area scaled back
-    four = F.transform(grown, lambda p: g.point(p["x"] * 4, p["y"] * 4))
-    piece = g.clamp_to(four, low * 4, low * 4, high * 4, high * 4)
-    return _polygons(spark, sf_dir).select("vec_id", F.round(F.coalesce(g.area(piece), g.area(F.transform(four, lambda p: g.point(F.greatest(low * 4, F.least(p["x"], high * 4)), F.greatest(low * 4, F.least(p["y"], high * 4)))))) / 16, 6).alias("area"))
+    grown = F.transform("points", lambda p: g.point(p["x"] * 400, p["y"] * 400))
+    piece = g.clamp_to(grown, *(F.lit(v) for v in (-4.0, -4.0, 2.0, 2.0)))
+    return _polygons(spark, sf_dir).select("vec_id", F.round(g.area(piece), 6).alias("area"))
 
 
 @_query("SELECT vec_id, printf('%d %.6f %.6f', label, greatest(0, least(1, CAST(embedding[1] AS DOUBLE) + 0.5)), greatest(0, least(1, CAST(embedding[2] AS DOUBLE) + 0.5))) AS line FROM embeddings")

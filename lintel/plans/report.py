@@ -11,6 +11,9 @@ from .opinions import OPINIONS
 from .rules.model import Condition, Rule
 
 
+_SIGNS = {"le": "≤", "ge": "≥", "lt": "<", "gt": ">", "eq": "=", "ne": "≠", "in": "∈", "not_in": "∉"}
+
+
 def _counts() -> list[Column]:
     return [F.count("*").alias("total"), F.count_if("passed").alias("pass"), F.count_if(~F.col("passed")).alias("fail"), F.count_if("review_required").alias("review")]
 
@@ -65,10 +68,11 @@ def markdown(findings: DataFrame, by: str = "doc_id") -> DataFrame:
     return totals.join(listed, by, "left").select(by, F.concat(head, F.coalesce("fails", F.lit(""))).alias("text"))
 
 
-def check_table(findings: DataFrame) -> DataFrame:
-    """Every finding with its requirement, written with the rule's own operator in the column `op`."""
-    sign = F.create_map(*(F.lit(x) for pair in {"le": "≤", "ge": "≥", "lt": "<", "gt": ">", "eq": "=", "ne": "≠"}.items() for x in pair))
-    return findings.select("doc_id", "rule_id", "name", "target_id", F.concat(F.try_element_at(sign, F.col("op")), F.col("threshold")).alias("requirement"), "value", F.when(F.col("passed"), "pass").when(~F.col("passed"), "fail").otherwise("review").alias("result"))
+def check_table(findings: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Every finding with its requirement, written with the operator of its rule."""
+    signs = lookup({r.rule_id: _SIGNS[r.check.op] for r in rules}, F.col("rule_id"))
+    result = F.when(F.col("passed"), "pass").when(~F.col("passed"), "fail").otherwise("review")
+    return findings.select("doc_id", "rule_id", "name", "target_id", F.concat(signs, "threshold").alias("requirement"), "value", result.alias("result"))
 
 
 def marks(findings: DataFrame) -> DataFrame:
@@ -97,9 +101,6 @@ def catalogue(rules: DataFrame) -> DataFrame:
     return rules.agg(F.count("*").alias("n"), F.count_distinct("category").alias("categories"), F.count_if("mandatory").alias("mandatory"))
 
 
-_SIGNS = {"le": "≤", "ge": "≥", "lt": "<", "gt": ">", "eq": "=", "ne": "≠", "in": "∈", "not_in": "∉"}
-
-
 def _written(c: Condition) -> str:
     value = "{" + ", ".join(map(str, c.value)) + "}" if isinstance(c.value, tuple) else str(c.value)
     return f"{c.path} {_SIGNS[c.op]} {value}"

@@ -80,6 +80,8 @@ def test_findings_and_reports(tables):
     assert report.reviews(found).count() == 1
     text = report.markdown(found).first()["text"]
     assert "| 14 | 8 | 5 | 1 |" in text and text.count("\n- ") == 5
+    table = {(r["rule_id"], r["target_id"]): (r["requirement"], r["result"]) for r in report.check_table(found, default_rules()).collect()}
+    assert table["WIDTH-DOOR-EVAC-001", "DR-001"] == ("≥0.9", "pass") and table["AREA-EQUIP-UG-001", "FC-02"] == ("≤1500", "fail")
     marks = {(r["target_type"], r["target_id"]): r["colour"] for r in report.marks(found).collect()}
     assert marks["door", "DR-001"] == "red" and marks["corridor", "COR-01"] == "green" and marks["station", None] == "green"
 
