@@ -95,9 +95,9 @@ def typed_view(struct: Column, schema: T.StructType) -> View:
     return View(value, items)
 
 
-def json_view(document: Column) -> View:
-    """The view of a column of JSON text, where missing and null differ."""
-    parsed = F.try_parse_json(document)
+def json_view(document: Column, parsed: Column | None = None) -> View:
+    """The view of a column of JSON text, where missing and null differ; parsed is its variant, if there is one already."""
+    parsed = F.try_parse_json(document) if parsed is None else parsed
 
     def value(path: str) -> Value:
         at = F.try_variant_get(parsed, f"$.{path}", "variant")
@@ -279,11 +279,37 @@ def _cell(order: int, rule: Rule, views: dict[str, View]) -> Column:
     return F.when(conditions(rule.applies_when, views), once)
 
 
+def _paths(rule: Rule) -> set[str]:
+    """The paths of targets and stations that a rule reads, but for those of elements."""
+    check = rule.check
+    read = {c.path for c in rule.applies_when} | {check.path} | {"target." + m for m in re.findall(r"\{target\.([\w.]+)\}", rule.message)}
+    return {p for p in read | ({check.threshold_path} if check.threshold_path else set()) if _root(p)[0] in ("target", "station") and _root(p)[1]}
+
+
+_FIELDS = ("present", "null", "num", "text", "kind", "shown")
+
+
+def _resolved(targets: DataFrame, rules: list[tuple[int, Rule]], views: dict[str, View]) -> tuple[DataFrame, dict[str, View]]:
+    """targets with the values of all paths as columns, and views of those: a path that many rules read is resolved once."""
+    paths = sorted({p for _, rule in rules for p in _paths(rule)} | {"target.id"})
+    at = {p: f"__{i}" for i, p in enumerate(paths)}
+    columns = [getattr(value, name).alias(f"{at[p]}_{name}") for p in paths for value in [views[_root(p)[0]].value(_root(p)[1])] for name in _FIELDS]
+
+    def view(root: str, inner: View) -> View:
+        def value(path: str) -> Value:
+            column = at.get(f"{root}.{path}")
+            return Value(*(F.col(f"{column}_{name}") for name in _FIELDS)) if column else inner.value(path)
+
+        return View(value, inner.items)
+
+    return targets.select("*", *columns), {root: view(root, inner) for root, inner in views.items()}
+
+
 def findings_of(targets: DataFrame, rules: list[tuple[int, Rule]], target: View, station: View) -> DataFrame:
     """One row for each rule, given with its place, that applies to a row (doc_id, target_ord, ...) of targets."""
-    views = {"target": target, "station": station}
+    resolved, views = _resolved(targets, rules, {"target": target, "station": station})
     cells = F.array_compact(F.array(*(_cell(order, rule, views) for order, rule in rules)))
-    fired = targets.select("doc_id", "target_ord", target.value("id").shown.alias("target_id"), F.explode(cells).alias("f"))
+    fired = resolved.select("doc_id", "target_ord", views["target"].value("id").shown.alias("target_id"), F.explode(cells).alias("f"))
     o = F.col("f.o")
     own = {c: o[c] for c in ("passed", "value", "value_num", "threshold", "threshold_num", "reason")} | {"review_required": o["passed"].isNull()}
     outer = ("doc_id", "target_ord", "target_id")
@@ -313,8 +339,8 @@ def evaluate_documents(documents: DataFrame, rules: list[Rule], body: str = "bod
             rows = read.where(there).select("doc_id", F.lit(0).alias("target_ord"), F.col("station").alias("target"), "station")
         else:
             rows = read.select("doc_id", "station", F.posexplode(target).alias("target_ord", "target"))
-        views = json_view(F.col("target")), json_view(F.coalesce("station", F.lit("{}")))
-        parts.append(findings_of(rows, own, *views))
+        rows = rows.withColumn("station", F.coalesce("station", F.lit("{}"))).select("*", F.try_parse_json("target").alias("target_v"), F.try_parse_json(F.coalesce("station", F.lit("{}"))).alias("station_v"))
+        parts.append(findings_of(rows, own, json_view(F.col("target"), F.col("target_v")), json_view(F.col("station"), F.col("station_v"))))
     return reduce(DataFrame.unionByName, parts)
 
 
