@@ -32,7 +32,7 @@ FREQUENT, MOST_FREQUENT = 16, 1_000_000
 #: Bytes of text for each n-gram block, and the least number of blocks.
 BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 64
 #: Entries that a task gathers before it deals them out.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Documents and columns of the full product's blocks.
 DOC_BLOCK, COLUMN_BLOCK = 256, 8_192
 #: N-grams beyond the prefix whose frequency is counted, as a part of a document.

@@ -23,7 +23,7 @@ ROW_TOKENS = 2_048
 #: Ends each document; also fills rows.
 END, FILL = 50_256, 50_256
 #: Tokens that a task packs at once.
-GROUP_TOKENS = 2 << 20
+GROUP_TOKENS = 1 << 20
 
 SCHEMA = "pack_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
 
