@@ -5,7 +5,6 @@ Windows are hashed; a bitmap and a sorted table sort out nearly all places, and
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
