@@ -7,7 +7,7 @@ import pytest
 from lintel.llm import edit_counts, queries, tokenizer
 from lintel.llm.edit_counts import Edit, TokenTree
 
-from .conftest import SCHEMA, odd_rows, prose
+from .conftest import odd_rows, prose
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,7 @@ def test_totals_after_random_edits(count, seed):
             for _ in range(r.randint(0, 4)):
                 a = r.randint(0, len(text))
                 edits.append(Edit(a, min(len(text), a + r.choice([0, 0, 1, 3, 40])), scraps(r, r.randint(0, 6))))
-            end, pieces = 0, []
-            taken = []
+            end, pieces, taken = 0, [], []
             for e in sorted(edits, key=lambda e: (e.start, e.end)):
                 if (not taken or e.start >= taken[-1].end) and (e.start < e.end or e.put):
                     taken.append(e)
@@ -70,4 +69,3 @@ def test_edit_columns_odd_and_empty(spark, odd, empty):
     assert got == {1: (len("four  three"), 2), 2: (0, 0), 3: (3, 1), 4: (1, 2)}
     assert edit_counts.count_edited(odd, queries._masks).count() == len(odd_rows())
     assert edit_counts.count_edited(empty, queries._masks).count() == 0
-    assert SCHEMA
