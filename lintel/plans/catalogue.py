@@ -232,7 +232,7 @@ SELECT o.vec_id AS vec_a, q.vec_id AS vec_b FROM v q JOIN e o ON o.label = q.lab
 WHERE (o.a.y > q.p[1].y) <> (o.b.y > q.p[1].y) AND q.p[1].x < (o.b.x - o.a.x) * (q.p[1].y - o.a.y) / (o.b.y - o.a.y + 1e-9) + o.a.x
 GROUP BY ALL HAVING count(*) % 2 = 1""")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = _polygons(spark, sf_dir).where("vec_id % 5 = 0").select("label", F.col("vec_id").alias("vec_a"), F.col("points").alias("ring"))
+    rings = _polygons(spark, sf_dir).select("label", F.col("vec_id").alias("vec_a"), F.col("points").alias("ring"))
     points = _polygons(spark, sf_dir).select("label", F.col("vec_id").alias("vec_b"), F.get("points", F.lit(0)).alias("at"))
     return rings.join(points, "label").where(F.col("vec_a") != F.col("vec_b")).where(g.contains(F.col("ring"), F.col("at.x"), F.col("at.y"))).select("vec_a", "vec_b")
 
