@@ -136,7 +136,10 @@ _THREE_DIGITS = re.compile(rf"(?i){_DIGIT}[ .,-]{{1,2}}{_DIGIT}[ .,-]{{1,2}}{_DI
 
 
 def _may_hide(text: str) -> bool:
-    """Whether some transducer may find something. Cheap tests come first; of four spelled digits in a row, the inner two stand apart as words or digits."""
+    """Whether some transducer may find something. Cheap tests come first; of four spelled digits in a row, the inner two stand apart as words or digits.
+
+    A long s counts as the s of plus, and no other letter as p, l or u.
+    """
     if not text.isascii():
         try:
             text.encode("latin-1")
@@ -146,7 +149,7 @@ def _may_hide(text: str) -> bool:
         if odd:
             return True
     lower = text.lower()
-    if " dot " in lower or _BRACKETED.search(text):
+    if " dot " in lower or _BRACKETED.search(text) or ("plu" in lower and _PLUS.search(text)):
         return True
     words = lower.replace("-", " ").replace(",", " ").replace(".", " ").split()
     return (not DIGIT_WORDS.keys().isdisjoint(words) or _DIGITS_APART.search(text) is not None) and _THREE_DIGITS.search(text) is not None
