@@ -118,10 +118,11 @@ FORMS = (
 #: A base phrase is a mention too.
 BASE_PRIORITY, BASE_WEIGHT = 1, 0.6
 
-#: Document gate: a text without any of these, in lower case, holds no match of any rule.
-GATE = ("licen", "copyright", "spdx", "gpl", "creative", "public domain", "all rights", "proprietary", "cc0", " org ", ".org", ".com", ".net", ".info", "open data commons", "terms of use", "no attribution")
-#: Needs separators between its words, so it stands apart.
-GATE_SPLIT = "cc[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+by"
+#: Document gate: a text without any of these or of GATE_SPLIT, in lower case, holds no match of any rule.
+GATE = ("licen", "copyright", "spdx", "gpl", "creative", "proprietary", "cc0", "mozilla", "eclipse", "wtfpl", "ofl", "w3", "apsl", "bsl11", " org ", ".org", ".com", ".net", ".info")
+_S = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Terms of several words, which any separators may part: a part that is looked for first, and the whole.
+GATE_SPLIT = tuple((part, words.replace(" ", _S)) for part, words in (("cc", "cc by"), ("domain", "public domain"), ("rights", "all rights"), ("commons", "open data commons"), ("terms", "terms of use"), ("attribution", "no attribution")))
 
 
 @dataclass(frozen=True)

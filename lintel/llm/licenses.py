@@ -78,8 +78,8 @@ def scan(docs: DataFrame, text: str = "text", rules: list[Signature] | None = No
     levels = max((r.priority for r in rules), default=0) + 1
     body = F.coalesce(F.col(text), F.lit(""))
     lowered = F.col("__license_low")
-    terms = [lowered.contains(term) for term in GATE]
-    gate = reduce(lambda a, b: a | b, terms) | (lowered.contains("cc") & lowered.rlike(GATE_SPLIT))
+    terms = [lowered.contains(term) for term in GATE] + [lowered.contains(part) & lowered.rlike(words) for part, words in GATE_SPLIT]
+    gate = reduce(lambda a, b: a | b, terms)
     norm = F.regexp_replace(F.concat(F.lit(" "), F.translate(body, string.ascii_uppercase, string.ascii_lowercase), F.lit(" ")), SEPARATORS, " ")
     one = docs.withColumn("license_words", F.regexp_count(body, F.lit(WORD_ANY_CASE)).cast("long")).withColumn("__license_low", F.lower(body)).withColumn("__license_norm", F.when(gate, norm)).drop("__license_low")
     words = F.col("__license_norm")
