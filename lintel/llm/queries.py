@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,15 +57,27 @@ def op7_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masks(text: str) -> list[edit_counts.Edit]:
-    """Edits that mask personal data and cut lines that stood before."""
-    edits = [edit_counts.Edit(start, end, f"[{kind.upper()}]") for part in pii.find(text) for kind, start, end in part]
-    seen, at = set(), 0
+    """Edits, none over another, that mask personal data and cut lines that stood before; overlapping data has the mask of its first, and data within a cut line none."""
+    cut, seen, at = [], set(), 0
     for line in text.split("\n"):
         if line.strip() and line in seen:
-            edits.append(edit_counts.Edit(at, at + len(line) + 1, ""))
+            cut.append(edit_counts.Edit(at, at + len(line) + 1, ""))
         seen.add(line)
         at += len(line) + 1
-    return edits
+    starts = [e.start for e in cut]
+
+    def within(start: int, end: int) -> bool:
+        i = bisect_right(starts, start) - 1
+        return i >= 0 and end <= cut[i].end
+
+    masks = [edit_counts.Edit(start, end, f"[{kind.upper()}]") for part in pii.find(text) for kind, start, end in part if not within(start, end)]
+    made: list[edit_counts.Edit] = []
+    for e in sorted([*masks, *cut], key=lambda e: (e.start, -e.end)):
+        if made and e.start < made[-1].end:
+            made[-1] = edit_counts.Edit(made[-1].start, max(made[-1].end, e.end), made[-1].put or e.put)
+        else:
+            made.append(e)
+    return made
 
 
 def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
