@@ -1,11 +1,14 @@
 """Benchmark decontamination: windows of normalised benchmark words in a broadcast hash set, looked up in every text.
 
-Windows are hashed; a bitmap and a sorted table sort out nearly all places, and what is left is compared word by word.
+Windows are hashed; a bitmap and a sorted table sort out nearly all places, and what is left is compared byte by byte
+with the benchmark's own words. The index of a slice of the benchmark is its normalised text and, for each window, a
+hash and a place: under four times the text. One slice at most is broadcast at a time. A larger benchmark is looked up
+slice by slice, and each pass writes what it found to the shared folder before the next one begins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,62 +17,100 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import NON_WORD_BYTES, WordHasher, map_batches, texts, windows
+from .shared import if_small, settle
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast set; a larger benchmark is looked up in slices, one after the other.
-SLICE_BYTES = 32 << 20
-_BITS = 20
-
-Index = dict[int, tuple[np.ndarray, np.ndarray, list[list[tuple[bytes, list[str]]]]]]
-
-
-def _slices(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in lists of so many bytes at most; rows without text or id have no windows."""
-    own, size = [], 0
-    for row in benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        body = row["t"].encode()
-        if own and size + len(body) > most:
-            yield own
-            own, size = [], 0
-        own.append((row["i"], body))
-        size += len(body)
-    yield own
-
-
-def _index(items: list[tuple[str, bytes]], length: int) -> Index:
-    """By window length: a bitmap of hashes, the sorted hashes, and for each its windows with the items that hold them."""
+#: Bytes of benchmark text in one broadcast index; a larger benchmark falls into slices of about half of it.
+SLICE_BYTES = 16 << 20
+#: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+class Windows(NamedTuple):
+    """The distinct windows of one length in each item, by hash. `new` marks the first of each run of equal windows."""
+
+    bitmap: np.ndarray
+    hashes: np.ndarray
+    places: np.ndarray
+    new: np.ndarray
+
+
+class Index(NamedTuple):
+    """The items' words, each followed by a blank; the first byte of each item; item ids; windows by length."""
+
+    words: bytes
+    edges: np.ndarray
+    names: list[str]
+    windows: dict[int, Windows]
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.words) + self.edges.nbytes + sum(map(len, self.names)) + sum(a.nbytes for w in self.windows.values() for a in w)
+
+
+def _table(hashes: np.ndarray, places: np.ndarray, ends: np.ndarray, items: np.ndarray, words: bytes) -> Windows:
+    order = np.argsort(hashes, kind="stable")
+    hashes, places, ends, items = (a[order] for a in (hashes, places, ends, items))
+    keep, new = np.ones(len(hashes), bool), np.ones(len(hashes), bool)
+    again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+    # runs of equal hashes: by words, then by item, each item once
+    for run in np.split(again, np.flatnonzero(np.diff(again) > 1) + 1) if len(again) else []:
+        at = np.arange(run[0] - 1, run[-1] + 1)
+        own = sorted((words[places[i] : ends[i]], int(items[i]), int(places[i])) for i in at.tolist())
+        for k, (i, (window, item, place)) in enumerate(zip(at.tolist(), own, strict=True)):
+            places[i] = place
+            new[i] = k == 0 or window != own[k - 1][0]
+            keep[i] = new[i] or item != own[k - 1][1]
+    hashes, places, new = hashes[keep], places[keep], new[keep]
+    bits = max(8, int(2 * len(hashes)).bit_length())
+    bitmap = np.zeros(1 << bits, bool)
+    bitmap[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return Windows(bitmap, hashes, places, new)
+
+
+def index_of(items: list[tuple[str, bytes]], length: int = WINDOW) -> Index:
+    """The index of some items (id, text); an item of fewer words than a window has one window of all its words."""
     hasher = WordHasher(NON_WORD_BYTES)
-    found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
+    bodies, edges, size = [], [], 0
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for name, body in items:
-        words = hasher.words(body)
-        if not words:
-            continue
-        n = min(length, len(words))
-        for i, h in enumerate(windows(hasher(body)[0], n).tolist()):
-            found.setdefault(n, {}).setdefault(h, {}).setdefault(b" ".join(words[i : i + n]), set()).add(name)
-    out: Index = {}
-    for n, by_hash in found.items():
-        hashes = np.array(sorted(by_hash), np.uint64)
-        bitmap = np.zeros(1 << _BITS, bool)
-        bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        out[n] = bitmap, hashes, [[(w, sorted(names)) for w, names in sorted(by_hash[h].items())] for h in hashes.tolist()]
-    return out
+        edges.append(size)
+        words = b"".join(w + b" " for w in hasher.words(body))
+        hashes, starts, ends = hasher(words)
+        n = min(length, len(hashes))
+        if n:
+            seen = windows(hashes, n)
+            found.setdefault(n, []).append((seen, size + starts[: len(seen)], size + ends[n - 1 :], np.full(len(seen), len(edges) - 1)))
+        bodies.append(words)
+        size += len(words)
+    whole = b"".join(bodies)
+    kind = np.uint32 if size < 1 << 32 else np.int64
+    joined = {n: [np.concatenate(x) for x in zip(*parts, strict=True)] for n, parts in found.items()}
+    return Index(whole, np.array(edges, kind), [name for name, _ in items], {n: _table(h, p.astype(kind), e, i, whole) for n, (h, p, e, i) in joined.items()})
 
 
 def _lookup(index: Index, hasher: WordHasher, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, hit windows as (first word, end), and items."""
     hashes, starts, ends = hasher(text)
     spans, items = [], set()
-    for n, (bitmap, known, held) in index.items():
+    for n, known in index.windows.items():
+        told: set[int] = set()
         seen = windows(hashes, n)
-        for i in np.flatnonzero(bitmap[(seen >> np.uint64(64 - _BITS)).astype(np.int64)]).tolist():
-            at = int(np.searchsorted(known, seen[i]))
-            if at < len(known) and known[at] == seen[i]:
-                words = b" ".join(hasher.words(text[starts[i] : ends[i + n - 1]]))
-                for window, names in held[at]:
-                    if window == words:
-                        spans.append((i, i + n))
-                        items.update(names)
+        maybe = np.flatnonzero(known.bitmap[(seen >> np.uint64(64 - int(len(known.bitmap) - 1).bit_length())).astype(np.int64)])
+        low, high = (np.searchsorted(known.hashes, seen[maybe], side) for side in ("left", "right"))
+        for i, at, end in zip(*(x[low < high].tolist() for x in (maybe, low, high)), strict=True):
+            words = b" ".join(hasher.words(text[starts[i] : ends[i + n - 1]])) + b" "
+            while at < end:
+                after = at + 1
+                while after < end and not known.new[after]:
+                    after += 1
+                if index.words.startswith(words, int(known.places[at])):
+                    spans.append((i, i + n))
+                    if at not in told:
+                        told.add(at)
+                        items.update(index.names[k] for k in (np.searchsorted(index.edges, known.places[at:after], "right") - 1).tolist())
+                    break
+                at = after
     return len(hashes), spans, items
 
 
@@ -83,6 +124,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _flat(spans: list[tuple[int, int]]) -> list[int]:
+    return [x for span in _merged(spans) for x in span]
+
+
 def _cut(hasher: WordHasher, text: bytes, spans: list[int]) -> bytes:
     """The text without the words of the spans and what stands between them."""
     _, starts, ends = hasher(text)
@@ -93,39 +138,71 @@ def _cut(hasher: WordHasher, text: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", length: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """docs, its columns named c0, c1, ..., with n_words, spans (merged word ranges found in the benchmark, flat), items and n_hit.
+_FOUND = [T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+_ARROW = pa.list_(pa.int64()), pa.list_(pa.string())
 
-    A window is so many consecutive words of an item, or all of a shorter item. Null and empty texts have no words and
-    no hits, null items and null ids no windows; repeated benchmark rows count by id. Rows are looked at one by one, so
-    repeated rows and any further columns stay. A slice of the benchmark is broadcast, of slice_bytes at most; further
-    slices follow as further passes over the same rows, without a shuffle.
-    """
-    context = docs.sparkSession.sparkContext
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    width, body_at = len(fields), docs.columns.index(text)
-    state = docs.toDF(*(f.name for f in fields)).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for part in _slices(benchmark, item, text, slice_bytes):
-        shared = context.broadcast(_index(part, length))
 
-        def make(shared=shared):
-            index, hasher = shared.value, WordHasher(NON_WORD_BYTES)
+def _looked_up(rows: DataFrame, at: int, items: DataFrame, length: int, hits_only: bool):
+    """rows with spans and items of one slice (i, t), whose text is column number at, and the broadcast index."""
+    index = index_of([(r["i"], r["t"].encode()) for r in items.orderBy("i", "t").collect()], length)
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                words, spans, items = [], [], []
-                for body, old, names in zip(texts(batch.column(body_at)), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
-                    n, new, found = _lookup(index, hasher, body or b"")
-                    words.append(n)
-                    spans.append([x for span in _merged([*zip(old[::2], old[1::2], strict=True), *new]) for x in span])
-                    items.append(sorted(found.union(names)))
-                return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
+    def make():
+        known, hasher = shared.value, WordHasher(NON_WORD_BYTES)
 
-            return each
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [_lookup(known, hasher, body or b"") for body in texts(batch.column(at))]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array([_flat(s) for _, s, _ in found], _ARROW[0]), pa.array([sorted(x) for *_, x in found], _ARROW[1])], [*batch.schema.names, "spans", "items"])
+            return out.filter(pa.array([bool(s) for _, s, _ in found], pa.bool_())).drop_columns([batch.schema.names[at]]) if hits_only else out
 
-        state = map_batches(state, schema, make)
+        return each
+
+    kept = [f for i, f in enumerate(rows.schema.fields) if not (hits_only and i == at)]
+    return map_batches(rows, T.StructType([*kept, *_FOUND]), make), shared
+
+
+def _in_slices(numbered: DataFrame, at: int, items: DataFrame, n: int, length: int) -> DataFrame:
+    """numbered with spans and items, one slice after the other. Texts are named by their SHA-256, so copies are one."""
+    body = numbered.columns[at]
+    named = numbered.select(F.sha2(body, 256).alias("sha"), body).where(F.col(body).isNotNull())
+    parts = None
+    for k in range(n):
+        found, shared = _looked_up(named, 1, items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k), length, True)
+        part = settle(found.distinct(), "benchmark-hits")
+        shared.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    gathered = parts.groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            spans = [_flat(list(zip(s[::2], s[1::2], strict=True))) for s in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW[0]), pa.array([sorted(x) for x in batch.column(2).to_pylist()], _ARROW[1])], batch.schema.names)
+
+        return each
+
+    merged = settle(map_batches(gathered, T.StructType([T.StructField("sha", T.StringType()), *_FOUND]), make), "benchmark-found")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    joined = numbered.withColumn("sha", F.sha2(body, 256)).join(if_small(merged), "sha", "left")
+    return joined.select(*numbered.columns, none("spans", "array<long>"), none("items", "array<string>"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", length: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs, its columns named c0, c1, ..., with spans (merged word ranges found in the benchmark, flat), items, n_words and n_hit.
+
+    A window is so many consecutive words of an item, or all of a shorter item. Null and empty texts have no words and
+    no hits, null items and null ids no windows; repeated benchmark rows count by id. Repeated rows and any further
+    columns, whatever their names, stay. A benchmark of up to slice_bytes of text is one broadcast index, and nothing is
+    shuffled. A larger one is dealt by hash to slices of about half of that; each is a pass of its own over the texts,
+    with its index alone in memory, which writes its hits, and the hits of a text then join it by its SHA-256. One item
+    is never cut, so an index is as large as its largest item at least.
+    """
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = docs.columns.index(text)
+    items = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
+    volume = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    found = _looked_up(numbered, at, items, length, False)[0] if volume <= slice_bytes else _in_slices(numbered, at, items, -(-2 * volume // slice_bytes), length)
     total = lambda odd: F.aggregate(F.filter("spans", lambda _, i: i % 2 == odd), F.lit(0).cast("long"), lambda a, b: a + b)
-    return state.withColumn("n_hit", total(1) - total(0))
+    return found.withColumn("n_words", F.regexp_count(F.coalesce(F.col(f"c{at}"), F.lit("")), F.lit(_WORD)).cast("long")).withColumn("n_hit", total(1) - total(0))
 
 
 def contaminated(n_hit, n_words, parts: int = 20):

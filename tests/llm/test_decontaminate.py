@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintel.llm import decontaminate
+from lintel.llm.arrow import windows
 
 from .conftest import SCHEMA, odd_rows, prose
 
@@ -74,3 +75,32 @@ def test_empty(spark, odd, empty, benchmark_rows):
     assert decontaminate.clean(empty, bench).count() == 0
     assert decontaminate.scan(odd, nothing).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.clean(odd, nothing).count() == odd.count()
+
+
+def test_index_is_small():
+    items = [(str(i), prose(500 + i, 400).encode()) for i in range(200)]
+    size = sum(len(t) for _, t in items)
+    assert decontaminate.index_of(items).nbytes <= 4 * size
+
+
+def test_repeated_windows_of_an_item_are_one():
+    index = decontaminate.index_of([("1", b"a " * 500), ("2", b"a " * 20), ("3", b"a " * 3)])
+    assert [len(w.hashes) for w in index.windows.values()] == [2, 1]
+    n, spans, items = decontaminate._lookup(index, decontaminate.WordHasher(decontaminate.NON_WORD_BYTES), b"x A-a" + b" a" * 18)
+    assert (n, decontaminate._merged(spans), items) == (21, [(1, 21)], {"1", "2", "3"})
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "windows", lambda hashes, n: windows(hashes, n) * 0 + 7)
+    index = decontaminate.index_of([("1", b"one two"), ("2", b"two one"), ("3", b"one two")])
+    hasher = decontaminate.WordHasher(decontaminate.NON_WORD_BYTES)
+    assert decontaminate._lookup(index, hasher, b"x two one") == (3, [(1, 3)], {"2"})
+    assert decontaminate._lookup(index, hasher, b"one two x") == (3, [(0, 2)], {"1", "3"})
+
+
+def test_slices_follow_each_other(spark, texts, benchmark_rows):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(benchmark_rows, "item_id long, text string")
+    plan = lambda n: decontaminate.scan(docs, bench, slice_bytes=n)._jdf.queryExecution().executedPlan().toString()
+    assert plan(1 << 20).count("MapInArrow") == 1 and "Exchange" not in plan(1 << 20)
+    assert plan(60).count("MapInArrow") == 0
