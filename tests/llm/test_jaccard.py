@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lintel.llm import jaccard
 from lintel.llm.components import components, forest
@@ -78,10 +79,15 @@ def test_matches_all_pairs(spark, rows):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == want(rows)
 
 
-def test_matches_with_small_blocks(spark, rows, monkeypatch):
+@pytest.mark.parametrize("most", [50, 100_000])
+def test_matches_with_small_blocks(spark, rows, monkeypatch, most):
     monkeypatch.setattr(jaccard, "DOC_BLOCK", 8)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "MOST_FREQUENT", 50)
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    monkeypatch.setattr(jaccard, "FLUSH", 500)
+    monkeypatch.setattr(jaccard, "LARGE", 10)
+    monkeypatch.setattr(jaccard, "PAIRS", 100)
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", most)
     monkeypatch.setattr(jaccard, "COLUMN_BLOCK", 16)
     part = rows[60:180]
     assert got(spark.createDataFrame(part, "doc_id long, text string").repartition(3)) == want(part)
@@ -107,6 +113,13 @@ def test_keep_one_odd(odd, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_texts_with_one_key_or_none(spark):
+    base = prose(9, 60)
+    rows = [(1, base), (1, base + " tail"), (2, base.upper()), (None, base + " end"), (None, "other " * 9), (None, "Other " * 9), (None, "other " * 9)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 6000 + i) for i in range(50)]
@@ -119,3 +132,28 @@ def test_components(spark):
 def test_prefix_covers_every_link():
     for n in range(1, 400):
         assert jaccard._prefix(n) == n - -(-75 * n // 100) + 1
+
+
+@pytest.fixture(scope="module")
+def passages():
+    """Documents of two out of 40 passages each."""
+    r = random.Random(11)
+    held = [prose(700 + k, r.randint(25, 45)) for k in range(40)]
+    return [(i, " ".join(r.sample(held, 2))) for i in range(1200)]
+
+
+def test_documents_of_shared_passages_fall_into_small_classes(spark, passages, monkeypatch):
+    classes = {}
+    real = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: classes.setdefault(len(classes), real(edges)))
+    out = got(spark.createDataFrame(passages, "doc_id long, text string").repartition(4))
+    assert out == want(passages)
+    linked = sum(1 for *_, links in out if links)
+    sizes = [x["n"] for x in classes[1].groupBy("root").count().withColumn("n", F.col("count") + 1).collect()]
+    assert max(sizes) <= 40 and sum(sizes) <= 3 * linked
+
+
+def test_strings_part_where_sizes_do():
+    names, sizes = np.array([1, 1, 1, 1, 2]), np.array([10, 13, 40, 60, 61])
+    strings = jaccard._strung(names, sizes, np.array([10, 32, 40, 60, 61]))
+    assert strings.heads.tolist() == [0, 3, 4] and strings.tops.tolist() == [40, 60, 61] and strings.edges.tolist() == [[0, 0], [1, 2]]
