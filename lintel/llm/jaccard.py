@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import BLANK_BYTES, WordHasher, bounded, texts, windows
+from .arrow import BLANK_BYTES, WordHasher, bounded, mixed, texts, windows
 from .components import components, forest
 from .shared import if_small, settle
 
@@ -40,7 +40,7 @@ LARGE, LONG = 256, 0.8
 #: Pairs that a block holds before it adds them up.
 PAIRS = 1 << 22
 #: Bytes of text for each n-gram block, and the least number of blocks.
-BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 64
+BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 16
 #: Bytes of text for each n-gram block of the second count.
 AGAIN_BYTES = 1 << 20
 #: Entries that a task gathers before it deals them out.
@@ -185,7 +185,7 @@ def _strung(names: np.ndarray, sizes: np.ndarray, tops: np.ndarray) -> Strings:
 def _postings(rows: DataFrame, blocks: int, frequent, again: int = 0) -> DataFrame:
     """The postings of rows, over so many blocks the first time, and over `again` blocks the second.
 
-    Rows of three kinds: (block, paired), for each paired n-gram in a prefix its upper half, node, size and what lies beyond the paired part; (block, strung), for each string of a hot n-gram its upper half, head, size and largest size; (a, b) of strings.
+    Rows of three kinds: (block, paired), for each paired n-gram in a prefix its upper half, node, size and what lies beyond the paired part; (block, strung), for each string of a hot n-gram its upper half, head, size and largest size; (block, edges), pairs (a, b) of strings, by a.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +205,11 @@ def _postings(rows: DataFrame, blocks: int, frequent, again: int = 0) -> DataFra
             head = at[strings.heads]
             strung = list(_dealt(h[head], again or blocks, [sigs[head], sizes[head].astype(np.uint32), strings.tops.astype(np.uint32)])) if len(head) else []
             a, b = forest(*sigs[at][strings.edges])
-            n, m, k = len(paired), len(strung), len(a)
-            part = lambda kind, *pieces: pa.concat_arrays([pa.nulls(x, kind) if isinstance(x, int) else pa.array(x, kind) for x in pieces])
-            columns = [part(pa.int64(), [d[0] for d in paired + strung], k), part(pa.binary(), [d[1] for d in paired], m + k), part(pa.binary(), n, [d[1] for d in strung], k), part(pa.int64(), n + m, a), part(pa.int64(), n + m, b)]
-            return pa.RecordBatch.from_arrays(columns, ["block", "paired", "strung", "a", "b"])
+            edges = list(_dealt(mixed(a.view(np.uint64)), again or blocks, [a, b])) if len(a) else []
+            kinds = [paired, strung, edges]
+            columns = [pa.array([d[0] for kind in kinds for d in kind], pa.int64())]
+            columns += [pa.array([d[1] if own is kind else None for kind in kinds for d in kind], pa.binary()) for own in kinds]
+            return pa.RecordBatch.from_arrays(columns, ["block", "paired", "strung", "edges"])
 
         for batch in batches:
             for body in texts(batch.column(0)):
@@ -234,7 +235,7 @@ def _postings(rows: DataFrame, blocks: int, frequent, again: int = 0) -> DataFra
         if held:
             yield flush()
 
-    return bounded(rows).mapInArrow(run, "block long, paired binary, strung binary, a long, b long")
+    return bounded(rows).mapInArrow(run, "block long, paired binary, strung binary, edges binary")
 
 
 def _needed(m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -281,16 +282,15 @@ def _candidates(postings: DataFrame, most: int) -> DataFrame:
         names, heads, low, top = _gathered([x for x in table.column("strung").to_pylist() if x], [np.int64, np.uint32, np.uint32])
         names, heads, low, top = (np.concatenate(x) for x in ((names, halves[many]), (heads, nodes[node[many]]), (low.astype(np.int64), size[node[many]]), (top.astype(np.int64), size[node[many]])))
         order = np.lexsort((heads, low, names))
-        a, b = forest(*heads[order][_strung(names[order], low[order], top[order]).edges])
+        given = _gathered([x for x in table.column("edges").to_pylist() if x], [np.int64, np.int64])[1:]
+        a, b = forest(*np.concatenate([heads[order][_strung(names[order], low[order], top[order]).edges], given], axis=1))
         a, b = np.concatenate([nodes[one], np.minimum(a, b)]), np.concatenate([nodes[two], np.maximum(a, b)])
         strung = len(a) - len(one)
         return pa.table({"a": a, "b": b, "need": np.concatenate([need, np.ones(strung, np.int64)]), "got": np.concatenate([got, np.full(strung, _ALWAYS)])})
 
-    dealt = settle(postings, "jaccard-postings")
     # a 20th less than needed passes, for n-grams of one set that hash halves and block cannot tell apart
-    found = dealt.where("block is not null").select("block", "paired", "strung").groupBy("block").applyInArrow(product, "a long, b long, need long, got long")
-    counted = found.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("got").alias("got")).where("20 * got >= 19 * need").select("a", "b")
-    return counted.unionByName(dealt.where("block is null").select("a", "b"))
+    found = postings.groupBy("block").applyInArrow(product, "a long, b long, need long, got long")
+    return found.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("got").alias("got")).where("20 * got >= 19 * need").select("a", "b")
 
 
 def _verified(sets: DataFrame) -> DataFrame:
