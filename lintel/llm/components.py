@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .shared import if_small, settle
+from .shared import drop, if_small, settle
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return map_batches(edges, "a long, b long", make)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b) but the roots themselves; the root is the smallest node it reaches.
 
     Each round hangs the larger neighbours of a node, then its smaller ones and itself, under their smallest, and is
@@ -53,17 +53,17 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     oriented = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = settle(oriented(_contracted(edges.select("a", "b"))).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written apart, so that the join with a centre of many edges can be broadcast, or split by partition
-        lowest = if_small(settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "edges-low"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        lowest = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "edges-low")
+        large = both.join(if_small(lowest), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = settle(large, "edges-large")
-        least = if_small(settle(large.groupBy("a").agg(F.min("b").alias("m")), "edges-low"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = settle(small.where("a <> b").distinct(), "edges")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        least = settle(large.groupBy("a").agg(F.min("b").alias("m")), "edges-low")
+        small = large.join(if_small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        was, now = now, settle(small.where("a <> b").distinct(), "edges")
+        drop(was, lowest, large, least)

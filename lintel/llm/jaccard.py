@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrow import BLANK_BYTES, WordHasher, bounded, mixed, texts, windows
 from .components import components, forest
-from .shared import if_small, settle
+from .shared import drop, if_small, settle
 
 WORDS = 5
 PERCENT = 75
@@ -142,6 +142,7 @@ def _frequent(catalogue: DataFrame, above: int, hot: int, most: int) -> tuple[np
 
     found = settle(catalogue.where(F.col("block").isNotNull()).select("block", "entries").groupBy("block").applyInArrow(count, "name long, n long"), "jaccard-frequent")
     rows = found.orderBy(F.col("n").desc(), "name").limit(most).select("name", (F.col("n") > hot).alias("hot")).toArrow()
+    drop(found)
     if not rows.num_rows:
         return np.empty(0, np.uint64), np.empty(0, bool)
     names, is_hot = (c.combine_chunks().to_numpy(zero_copy_only=False) for c in rows.columns)
@@ -378,7 +379,9 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     entries = catalogue.where(F.col("block").isNull()).select("key", "h", "sig", "n")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(catalogue, FREQUENT, HOT, MOST_FREQUENT))
     nodes = settle(entries.where("sig is not null").select("sig", "key", "h", "n", row).groupBy("sig").agg(F.min("row").alias("row"), F.min(F.struct(F.col("key").isNull().alias("blank"), "key", "h")).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n")), "jaccard-nodes")
-    classes = settle(components(settle(_candidates(_postings(rows.select("text"), blocks, frequent), FREQUENT), "jaccard-pairs")), "jaccard-classes")
+    pairs = settle(_candidates(_postings(rows.select("text"), blocks, frequent), FREQUENT), "jaccard-pairs")
+    classes = settle(components(pairs), "jaccard-classes")
+    drop(pairs)
     large = settle(classes.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") >= LARGE).select("root"), "jaccard-large")
     if not large.isEmpty():
         held = classes.join(if_small(large), "root")
@@ -390,6 +393,7 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     wanted = settle(_dealt_to_blocks(nodes.drop("least"), classes), "jaccard-wanted")
     blocked = _sets(rows.select(row, "text"), wanted).withColumn("other", F.explode("others")).select("class", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sig", "copies", "own")
     verified = settle(_verified(blocked), "jaccard-links")
+    drop(wanted)
     roots = components(verified.where("sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("sig").agg(F.sum("links").alias("links"))
     labelled = nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").join(links, "sig", "left").withColumn("root", F.coalesce("root", "sig"))

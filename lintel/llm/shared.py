@@ -15,17 +15,22 @@ BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 #: Most rows of a key table that is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
+
+    Where both are unset, a temporary folder serves a local session, whose tasks are on this machine; elsewhere that is an error.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lintel-checkpoint-")
         context.setCheckpointDir(folder)
         return context._jsc.sc().getCheckpointDir().get()
@@ -37,18 +42,30 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: what was made from them must have been settled in turn."""
+    for table in tables:
+        if spark := _written.pop(table._settled, None):
+            _delete(spark, table._settled)
 
 
 def forget() -> None:
-    """Delete the tables that settle() wrote; called at exit."""
+    """Delete the tables that settle() wrote and that are still there; called at exit."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; what is left lies in the checkpoint folder
             return
 
@@ -61,6 +78,17 @@ def if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+def beside(names: list[str], results: tuple[str, ...]) -> list[str]:
+    """Names for input columns beside result columns: one that a result has, in any case, gets _in behind it until it is its own."""
+    taken, out = {r.lower() for r in results}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)
