@@ -1,24 +1,33 @@
-"""Edit-aware token counts: a segment tree of leaf counts for each document, updated where edits fall.
+"""Edit-aware token counts: a segment tree over the pre-tokens of each document, updated where edits fall.
 
-A text is cut into leaves at places where a single blank stands between two other characters: the pre-token pattern
-always starts a pre-token there, so each leaf encodes on its own. After edits, leaves that an edit touches, or whose
-cut an edit comes near, are encoded again together with what replaced them; all other counts stay, and only the sums
-above changed leaves are updated.
+A byte-pair encoder cuts a text into pre-tokens by a pattern and encodes each on its own, so the tokens of a text are
+the sum over its pre-tokens, which are the leaves of the tree. Where a pre-token ends depends on its own text and a few
+characters behind it, and what follows depends on nothing before. So after an edit the pattern runs from the first
+pre-token that the edit can reach to the first old boundary behind it that it meets again; pre-tokens between are encoded
+again, and the sums above their leaves are updated.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer
 from .arrow import map_batches
+from .shared import beside
 
-LEAF_CHARACTERS = 512
+#: Characters behind a pre-token that decide where it ends: a contraction looks two ahead, a run of blanks two.
+AHEAD = 3
+#: Pre-tokens whose counts a task remembers.
+REMEMBERED = 1 << 19
 
 
 class Edit(NamedTuple):
@@ -29,39 +38,63 @@ class Edit(NamedTuple):
     put: str
 
 
-def cuts(text: str, leaf: int = LEAF_CHARACTERS) -> list[int]:
-    """Leaf starts: 0 and then the first safe place after each leaf characters."""
-    found, at = [0], leaf
-    while 0 <= (at := text.find(" ", at)) < len(text) - 1:
-        if at and not text[at - 1].isspace() and not text[at + 1].isspace():
-            found.append(at)
-            at += leaf
-        else:
-            at += 1
-    return found
+@lru_cache(maxsize=2)
+def _pattern(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
+class Counter:
+    """The number of tokens of a pre-token, remembered."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self.encode, self.known, self.encoded = encode, {}, 0
+
+    def __call__(self, token: str) -> int:
+        n = self.known.get(token)
+        if n is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            n = self.known[token] = len(self.encode(token))
+        return n
 
 
 class TokenTree:
-    """Leaf starts of a text and a heap of counts: node i sums nodes 2i and 2i + 1, leaves stand from `width` on."""
+    """Starts of a text's leaves, which are pre-tokens, and a heap of counts: node i sums nodes 2i and 2i + 1, leaves stand from `width` on.
 
-    def __init__(self, text: str, count: Callable[[str], int], leaf: int = LEAF_CHARACTERS) -> None:
-        self.text, self.count = text, count
-        self.starts = cuts(text, leaf)
-        self.width = 1 << (len(self.starts) - 1).bit_length()
-        self.sums = [0] * (2 * self.width)
-        for i, start in enumerate(self.starts):
-            self.sums[self.width + i] = count(text[start : self._end(i)])
-        for node in range(self.width - 1, 0, -1):
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
-        self.encoded = len(text)
+    A leaf of no characters has no tokens: edits that take pre-tokens away leave such ones, and where edits bring more
+    pre-tokens than they took, the last leaf of the region holds the rest of them.
+    """
 
-    def _end(self, i: int) -> int:
-        return self.starts[i + 1] if i + 1 < len(self.starts) else len(self.text)
+    def __init__(self, text: str, count: Callable[[str], int], leaves: tuple[Sequence[int], Sequence[int]] | None = None, pattern: str = tokenizer.PATTERN) -> None:
+        """leaves gives lengths and counts of a tree that was kept; nothing is encoded then."""
+        self.text, self.count, self.pattern = text, count, _pattern(pattern)
+        if leaves is None:
+            tokens = self.pattern.findall(text)
+            leaves = list(map(len, tokens)), list(map(count, tokens))
+        lengths, counts = leaves
+        if sum(lengths) != len(text):
+            raise ValueError("leaves of another text")
+        self.starts = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))[:-1]]).astype(np.int64).tolist() if len(lengths) else [0]
+        self.width = 1 << (len(self.starts) - 1).bit_length()
+        heap = np.zeros(2 * self.width, np.int64)
+        heap[self.width : self.width + len(counts)] = counts
+        low = self.width
+        while low > 1:
+            heap[low // 2 : low] = heap[low : 2 * low].reshape(-1, 2).sum(axis=1)
+            low //= 2
+        self.sums = heap.tolist()
+        if self.width == 1:
+            self.sums = [0, self.sums[1]]
 
     @property
     def total(self) -> int:
         return self.sums[1]
 
+    @property
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Lengths and counts of the leaves, from which the tree can be built again without encoding."""
+        return np.diff([*self.starts, len(self.text)]).tolist(), self.sums[self.width : self.width + len(self.starts)]
+
     def _put(self, i: int, n: int) -> None:
         node, change = self.width + i, n - self.sums[self.width + i]
         while change and node:
@@ -69,10 +102,10 @@ class TokenTree:
             node >>= 1
 
     def apply(self, edits: Sequence[Edit]) -> int:
-        """Make the edits, given in the present text's characters; returns the characters that were encoded again.
+        """Make the edits, given in the present text's characters; returns the characters that were cut into pre-tokens again.
 
         Edits are taken by start; one that begins before the last one's end is left out, and ends beyond the text stop
-        there. Leaves that run together keep their slots: the first holds the count, the others none.
+        there.
         """
         taken: list[Edit] = []
         for e in sorted(edits, key=lambda e: (e.start, e.end)):
@@ -81,95 +114,90 @@ class TokenTree:
                 taken.append(Edit(start, end, e.put))
         if not taken:
             return 0
-        # a cut holds while the character before it, its blank and the one after are as they were
-        n, at = len(self.starts), 0
-        joined, touched = [False] * n, [False] * n
-        for i, start in enumerate(self.starts):
-            while at < len(taken) and taken[at].end < start - 1:
-                at += 1
-            joined[i] = i > 0 and at < len(taken) and taken[at].start <= start + 2
-        for e in taken:
-            touched[self._leaf(e.start)] = touched[self._leaf(max(e.start, e.end - 1))] = True
-        # a long edit lies over leaves whose cuts it joins, so their first and last leaf mark the rest
-        regions: list[tuple[int, int]] = []
-        i = 0
-        while i < n:
-            j = i + 1
-            while j < n and joined[j]:
-                j += 1
-            if j > i + 1 or touched[i]:
-                regions.append((i, j))
-            i = j
-        return self._encode(taken, regions)
-
-    def _leaf(self, at: int) -> int:
-        low, high = 0, len(self.starts)
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (middle, high) if self.starts[middle] <= at else (low, middle)
-        return low
-
-    def _encode(self, taken: list[Edit], regions: list[tuple[int, int]]) -> int:
-        pieces, at, moved = [], 0, []
+        pieces, at = [], 0
         for e in taken:
             pieces += [self.text[at : e.start], e.put]
             at = e.end
-            moved.append((e.end, len(e.put) - (e.end - e.start)))
         new = "".join([*pieces, self.text[at:]])
-        starts, shift, k = [], 0, 0
-        for i, start in enumerate(self.starts):
-            while k < len(moved) and moved[k][0] <= start and i:
-                shift += moved[k][1]
-                k += 1
-            starts.append(start + shift)
-        again = 0
-        ends = [*starts[1:], len(new)]
-        for i, j in regions:
-            body = new[starts[i] : ends[j - 1]]
-            again += len(body)
-            self._put(i, sum(self.count(body[a:b]) for a, b in self._parts(body)))
-            for k in range(i + 1, j):
-                self._put(k, 0)
-                starts[k] = ends[j - 1]
-        self.text, self.starts = new, starts
+        starts, old_end = self.starts, len(self.text)
+        regions: list[tuple[int, int, list[str]]] = []  # first leaf, leaf behind the last, its new pre-tokens
+        shift = again = k = 0
+        while k < len(taken):
+            # the leaf that holds the last character before the edit that no longer matters to those ahead of it
+            first = max(0, bisect_right(starts, max(0, taken[k].start - AHEAD)) - 1)
+            low = upto = starts[first] + shift
+            tokens: list[str] = []
+            begun = False
+            while True:
+                # an edit that the place reached may depend on belongs to this region, as the first one does
+                while k < len(taken) and (not begun or taken[k].start + shift <= upto + AHEAD):
+                    shift += len(taken[k].put) - (taken[k].end - taken[k].start)
+                    changed, begun, k = taken[k].end + shift, True, k + 1
+                old = upto - shift
+                if upto >= changed:
+                    behind = bisect_left(starts, old)
+                    if old == old_end or (first < behind < len(starts) and starts[behind] == old):
+                        break
+                match = self.pattern.match(new, upto)
+                tokens.append(match[0])
+                upto = match.end()
+            last = len(starts) if old == old_end else behind
+            regions.append((first, last, tokens))
+            again += upto - low
+        self._replace(new, regions)
         return again
 
-    @staticmethod
-    def _parts(body: str) -> list[tuple[int, int]]:
-        at = cuts(body)
-        return list(zip(at, [*at[1:], len(body)], strict=True))
-
-
-def count_edited(docs: DataFrame, edits: Callable[[str], list[Edit]] | str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None) -> DataFrame:
-    """carry columns of docs with n_tokens, n_edits, n_tokens_after, n_characters_after, n_again, leaf_starts and tree.
-
-    edits is a column of (start, end, put) arrays or a function of the text; n_again counts the characters that were
-    encoded for the edits, leaf_starts and tree are the document's tree after them. Null and empty texts have 0 tokens;
-    null edits none. Rows are counted one by one, so repeated rows give repeated results.
+    def _replace(self, new: str, regions: list[tuple[int, int, list[str]]]) -> None:
+        lengths = np.diff([*self.starts, len(self.text)])
+        for first, last, tokens in regions:
+            slots = last - first
+            own = [len(t) for t in tokens]
+            counts = [self.count(t) for t in tokens]
+            if len(own) > slots:
+                own[slots - 1 :] = [sum(own[slots - 1 :])]
+                counts[slots - 1 :] = [sum(counts[slots - 1 :])]
+            pad = slots - len(own)
+            lengths[first:last] = own + [0] * pad
+            for i, n in enumerate(counts + [0] * pad):
+                self._put(first + i, n)
+        self.text = new
+        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).tolist()
+
+
+def count_edited(docs: DataFrame, edits: Callable[[str], list[Edit]] | str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, tree: tuple[str, str] | None = None) -> DataFrame:
+    """carry columns of docs with n_tokens, n_edits, n_tokens_after, n_characters_after, n_again, leaf_lengths, leaf_counts and text_after.
+
+    edits is a column of (start, end, put) arrays or a function of the text; n_again counts the characters that were cut
+    again for the edits. leaf_lengths and leaf_counts are the document's tree after them: given back with text_after as
+    `tree` and text, a later round of edits starts from them and encodes nothing else. Null and empty texts have 0 tokens;
+    null edits none, and without a tree the text is encoded. Rows are counted one by one, so repeated rows give repeated
+    results. A carried column with the name of a result, in any case, gets _in behind it.
     """
     raw = tokenizer.send(docs.sparkSession, vocabulary)
-    given = F.col(edits) if isinstance(edits, str) else F.lit(None).cast("array<struct<start:int,end:int,put:string>>")
-    inner = docs.select(*carry, given.alias("__edits"), docs[text].alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-2])
-    names = [*inner.columns[:-2], "n_tokens", "n_edits", "n_tokens_after", "n_characters_after", "n_again", "leaf_starts", "tree"]
-    schema = f"{fields}, n_tokens long, n_edits long, n_tokens_after long, n_characters_after long, n_again long, leaf_starts array<int>, tree array<int>"
+    results = ("n_tokens", "n_edits", "n_tokens_after", "n_characters_after", "n_again", "leaf_lengths", "leaf_counts", "text_after")
+    none = lambda kind: F.lit(None).cast(kind)
+    given = docs[edits] if isinstance(edits, str) else none("array<struct<start:int,end:int,put:string>>")
+    kept = [docs[c] for c in tree] if tree else [none("array<int>")] * 2
+    names = beside([*carry], results)
+    inner = docs.select(*(docs[c] for c in carry), given, *kept, docs[text]).toDF(*(f"c{i}" for i in range(len(carry))), "edits", "lengths", "counts", "text")
+    fields = "".join(f"`c{i}` {inner.schema.fields[i].dataType.simpleString()}, " for i in range(len(carry)))
+    schema = f"{fields}n_tokens long, n_edits long, n_tokens_after long, n_characters_after long, n_again long, leaf_lengths array<int>, leaf_counts array<int>, text_after string"
 
     def make():
-        encode = tokenizer.encoder(raw.value).encode_ordinary
-        count = lambda part: len(encode(part)) if part else 0
+        count = Counter(tokenizer.encoder(raw.value).encode_ordinary)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for own, body in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for own, lengths, counts, body in zip(*(batch.column(i).to_pylist() for i in range(len(carry), len(carry) + 4)), strict=True):
                 body = body or ""
                 made = [Edit(e["start"], e["end"], e["put"] or "") for e in own or []] if isinstance(edits, str) else edits(body)
-                tree = TokenTree(body, count)
-                before = tree.total
-                again = tree.apply(made)
-                rows.append((before, len(made), tree.total, len(tree.text), again, tree.starts, tree.sums))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
-            return pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names)
+                held = TokenTree(body, count, (lengths, counts) if lengths is not None and counts is not None else None)
+                before = held.total
+                again = held.apply(made)
+                rows.append((before, len(made), held.total, len(held.text), again, *held.leaves, held.text))
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2 + [pa.string()]
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], [*batch.schema.names[: len(carry)], *results])
 
         return each
 
-    return map_batches(inner, schema, make)
+    return map_batches(inner, schema, make).toDF(*names, *results)

@@ -18,14 +18,14 @@ def count():
 
 
 def scraps(r, n):
-    return "".join(r.choice(["the ", "cat's", " ", "  ", "\n", "99 ", "é", "...", "dog", " dog", "  \n ", "x"]) for _ in range(n))
+    return "".join(r.choice(["the ", "cat's", " ", "  ", "\n", "99 ", "é", "...", "dog", " dog", "  \n ", "x", "'", "l", "ve", "'r"]) for _ in range(n))
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_totals_after_random_edits(count, seed):
     r = random.Random(seed)
     for _ in range(150):
-        tree = TokenTree(scraps(r, r.randint(0, 300)), count, r.choice([1, 5, 20, 100]))
+        tree = TokenTree(scraps(r, r.randint(0, 300)), count)
         assert tree.total == count(tree.text)
         for _ in range(3):
             text, edits = tree.text, []
@@ -42,13 +42,15 @@ def test_totals_after_random_edits(count, seed):
             tree.apply(edits)
             assert tree.text == "".join([*pieces, text[end:]])
             assert tree.total == count(tree.text)
+            assert TokenTree(tree.text, None, tree.leaves).sums == tree.sums
+            assert sum(tree.leaves[0]) == len(tree.text)
             assert all(tree.sums[i] == tree.sums[2 * i] + tree.sums[2 * i + 1] for i in range(1, tree.width))
 
 
 def test_only_touched_regions_are_encoded(count):
     tree = TokenTree(prose(1, 20_000), count)
     again = tree.apply([Edit(50_000, 50_003, "xyz"), Edit(len(tree.text), len(tree.text), " end")])
-    assert tree.total == count(tree.text) and again < 4 * edit_counts.LEAF_CHARACTERS
+    assert tree.total == count(tree.text) and again < 200
 
 
 def test_query_matches_full_counts(spark, count):
@@ -69,3 +71,19 @@ def test_edit_columns_odd_and_empty(spark, odd, empty):
     assert got == {1: (len("four  three"), 2), 2: (0, 0), 3: (3, 1), 4: (1, 2)}
     assert edit_counts.count_edited(odd, queries._masks).count() == len(odd_rows())
     assert edit_counts.count_edited(empty, queries._masks).count() == 0
+
+
+def test_a_second_round_starts_from_the_tree(spark, count):
+    rows = [(i, prose(40 + i, 300), [(10, 30, "one"), (900, 905, None)], [(0, 4, ""), (500, 500, " it's more ")]) for i in range(5)] + [(9, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, one array<struct<start:int,end:int,put:string>>, two array<struct<start:int,end:int,put:string>>")
+    first = edit_counts.count_edited(docs, "one", carry=("doc_id", "two"))
+    second = edit_counts.count_edited(first, "two", "text_after", tree=("leaf_lengths", "leaf_counts")).collect()
+    for r in second:
+        assert r["n_tokens_after"] == count(r["text_after"]) and r["n_again"] < 100
+        assert r["n_characters_after"] == len(r["text_after"])
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two", 5, 6)], "doc_id long, __text string, N_tokens int, tree int")
+    out = edit_counts.count_edited(docs, lambda text: [], "__text", ("doc_id", "N_tokens", "__text", "tree"))
+    assert out.columns[:4] == ["doc_id", "N_tokens_in", "__text", "tree"] and out.first()["n_tokens"] == 2
