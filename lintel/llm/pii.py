@@ -2,7 +2,8 @@
 
 Identifiers are found in the source text first. Transducers then rewrite disguises (look-alike characters, spelled
 digits, written-out at and dot) into plain characters, each of which keeps the source span that it came from; what is
-found in the rewritten text is mapped back, and added where no plain finding lies.
+found in the rewritten text is mapped back, and added where no plain finding lies. Secrets, which have no base pattern,
+are added as well.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrow import map_batches
+from .shared import beside
 
-#: Kinds in the order in which equal starts are listed.
+#: Kinds with a base pattern, and all in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 Span = tuple[str, int, int]
 Edit = tuple[int, int, str]
 
@@ -84,6 +87,27 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
+#: Names that a secret is assigned to, and forms that tell a secret by themselves.
+SECRET_NAMES = ("token", "secret", "passwd", "password", "passphrase", "api key", "apikey", "access key", "private key", "auth key", "authorization", "bearer", "credential")
+SECRET_FORMS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"sk-[A-Za-z0-9_-]{20,}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+#: A value of 16 characters or more, of which one is a digit, behind a name and a sign or the word bearer.
+_ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(n.replace(' ', '[ _-]?') for n in SECRET_NAMES)})['\"]?(?:\s{{0,4}}[:=]{{1,2}}>?\s{{0,4}}(?:bearer\s)?|\s)['\"]?(?=[A-Za-z_+/=.~-]*[0-9])([A-Za-z0-9_+/=.~-]{{16,}})")
+_SECRET_FORM = re.compile(rf"(?<![A-Za-z0-9_-])(?:{'|'.join(SECRET_FORMS)})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----")
+_SECRET_HINT = re.compile(r"(?i)token|secret|pass|key|auth|bearer|credential|akia|gh[pousr]_|xox|sk-|eyj")
+
+
+def secrets(text: str) -> list[Span]:
+    """The secrets of a text: values assigned to a name that says so, and forms of well-known issuers."""
+    if not _SECRET_HINT.search(text):
+        return []
+    found = sorted([(m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text)] + [m.span() for m in _SECRET_FORM.finditer(text)])
+    out: list[Span] = []
+    for start, end in found:
+        if not out or start >= out[-1][2]:
+            out.append(("secret", start, end))
+    return out
+
+
 _DIGIT = f"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))}|[0-9])"
 #: Four digits in a row of which some are words: fewer are left alone as prose.
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT}[ .,-]{{1,2}}){{3,}}{_DIGIT}(?!\w)")
@@ -178,21 +202,21 @@ def rewritten(text: str) -> tuple[str, list[int], list[int], list[bool]]:
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """The plain identifiers of a text, and the disguised ones, as source spans. A disguised one touches no plain one."""
+    """The plain identifiers of a text, and the disguised ones and secrets, as source spans. A further one touches no plain one."""
     base = plain(text)
+    more = [s for s in secrets(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
     if not _may_hide(text):
-        return base, []
+        return base, more
     clear, starts, ends, changed = rewritten(text)
     if not any(changed) and clear == text:
-        return base, []
-    more = []
+        return base, more
     for kind, a, b in plain(clear):
         start, end = starts[a], ends[b - 1]
         # a character that vanished leaves a gap between the spans of its neighbours
         touched = any(changed[a:b]) or end - start != b - a
-        if touched and not any(s < end and start < e for _, s, e in base):
+        if touched and not any(s < end and start < e for _, s, e in [*base, *more]):
             more.append((kind, start, end))
-    return base, more
+    return base, sorted(more, key=lambda s: (s[1], s[2]))
 
 
 def _record(span: Span, is_plain: bool) -> dict:
@@ -207,9 +231,11 @@ def detect(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
     """carry columns of docs with `spans`: array of (kind, start, end, plain) by start and kind, in code points.
 
     Null and empty texts have an empty array. Whole texts are read; rows are looked at one by one, so repeated rows
-    give repeated results.
+    give repeated results. A carried column called spans, in any case, gets _in behind it. Beyond the base patterns, an
+    address with a bare "at" needs a "dot" and a top-level domain of a short list behind it, and has at most 64
+    characters before the "at", 63 in a label and 10 labels; spelled digits count from four in a row on.
     """
-    inner = docs.select(*carry, docs[text].alias("__text"))
+    inner = docs.select(*(docs[c] for c in carry), docs[text]).toDF(*beside([*carry], ("spans", "__text")), "__text")
     schema = T.StructType([*inner.schema.fields[:-1], T.StructField("spans", _SPAN)])
 
     def make():
@@ -217,7 +243,7 @@ def detect(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
             rows = []
             for body in batch.column(batch.num_columns - 1).to_pylist():
                 base, more = find(body or "")
-                rows.append(sorted([*(_record(s, True) for s in base), *(_record(s, False) for s in more)], key=lambda r: (r["start"], KINDS.index(r["kind"]), r["end"])))
+                rows.append(sorted([*(_record(s, True) for s in base), *(_record(s, False) for s in more)], key=lambda r: (r["start"], ALL_KINDS.index(r["kind"]), r["end"])))
             return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _ARROW)], [*batch.schema.names[:-1], "spans"])
 
         return each

@@ -27,7 +27,7 @@ def op1_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_cut")
 
 
 def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.filter("spans", lambda s: s["plain"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size(plain)).cast("long").alias("n_added"), (F.size("spans") > 0).alias("flagged"))
 
 
 def _masks(text: str) -> list[edit_counts.Edit]:
@@ -81,7 +81,7 @@ def _masks(text: str) -> list[edit_counts.Edit]:
 
 
 def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_counts.count_edited(_table(spark, sf_dir, "documents"), _masks).drop("leaf_starts", "tree")
+    return edit_counts.count_edited(_table(spark, sf_dir, "documents"), _masks).drop("text_after")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
