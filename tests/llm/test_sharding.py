@@ -57,3 +57,35 @@ def test_odd_rows(odd, empty):
     checked(out)
     assert sum(x["size"] for x in out) == sum(len((r[1] or "").encode()) + 8 for r in odd_rows())
     assert sharding.shard(empty).count() == 0
+
+
+def brute(rows, shards=24):
+    """Shard, slot and whether its group is cut of each row, from its own key k: along k, each row or small group goes where its middle lies."""
+    rows = sorted(rows, key=lambda r: (r["k"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]))
+    total, at, i, out, used = sum(r["size"] for r in rows), 0, 0, [], {}
+    while i < len(rows):
+        j = i
+        while j < len(rows) and rows[j]["k"] >> sharding.ID_BITS == rows[i]["k"] >> sharding.ID_BITS:
+            j += 1
+        size = sum(r["size"] for r in rows[i:j])
+        large = size > sharding.WHOLE * total / shards
+        own = at
+        for r in rows[i:j]:
+            middle = own + r["size"] / 2 if large else at + size / 2
+            shard = min(shards - 1, int(middle * shards // total))
+            out.append((r["doc_id"], r["size"], r["text_crc32"], shard, used.get(shard, 0), large))
+            used[shard] = used.get(shard, 0) + 1
+            own += r["size"]
+        at, i = at + size, j
+    return out
+
+
+def test_matches_plain_python(spark, odd):
+    r = random.Random(8)
+    tables = [spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd, spark.createDataFrame([(i, "hot " * 30 if i % 3 else "y" * r.randint(0, 900)) for i in range(900)], "doc_id long, text string").repartition(5)]
+    for docs in tables:
+        out = sharding.shard(docs).collect()
+        for row in out:
+            assert row["size"] >= 8 and 0 <= row["text_crc32"] < 1 << 32
+        got = sorted(((x["doc_id"], x["size"], x["text_crc32"], x["shard"], x["slot"], x["group_cut"]) for x in out), key=str)
+        assert got == sorted(brute(out), key=str)
