@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .shared import settle
+from .shared import beside, drop, settle
 
 #: N-grams in a profile and in a document's list.
 TOP = 400
 #: About so many training documents of each language are drawn by a hash; all where there are fewer.
 SAMPLE = 2_000
-#: Most languages that profiles are kept for: they are sent to every task.
-LANGUAGES = 1_000
+#: Labels that are learnt at most, those with the most rows first: more than there are language codes. Profiles take 3 KB each in every task.
+LANGUAGES = 8_192
 UNKNOWN = "und"
 
 Profiles = list[tuple[str, list[int]]]
@@ -56,15 +56,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", draw: str = "
     """(language, its n-gram codes in order) of each language of the labelled rows; rows without text or label are left out.
 
     sample bounds the rows of a language that are counted, in expectation: they are drawn by a hash of the draw column.
+    Of more than LANGUAGES labels, those with the most rows are learnt, of equals the first by name.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(draw), F.lit("language")), F.lit(1 << 30)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return []
-    under = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample / n) * (1 << 30)))))
-    drawn = rows.where(F.col("h") < under[F.col("lang")]).select("lang", "text")
+    sizes = settle(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES), "language-sizes")
+    under = F.least(F.lit(1.0), sample / F.col("n")) * (1 << 30)
+    drawn = rows.join(F.broadcast(sizes), "lang").where(F.col("h") < under).select("lang", "text")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -81,8 +78,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", draw: str = "
         return each
 
     counted = map_batches(drawn, "lang string, code long, n long", make).groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code"))
-    best = settle(counted.withColumn("place", place).where(F.col("place") <= top), "language-profiles").collect()
+    # of equals the lower code first, as unsigned numbers, as in a document's own list
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("code").bitwiseXOR(F.lit(-(1 << 63)))))
+    best = counted.withColumn("place", place).where(F.col("place") <= top).collect()
+    drop(sizes)
     known: dict[str, list[tuple[int, int]]] = {}
     for r in best:
         known.setdefault(r["lang"], []).append((r["place"], r["code"]))
@@ -94,9 +93,10 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", carry: tupl
 
     lang_pred is the language of the least distance, the first by name of equals; score is 1 minus the distance as a
     part of the largest. A text that is null, empty or without letters, or an empty set of profiles, gives `und` and 0.
-    Whole texts are read, whatever their length; each row is judged alone.
+    Whole texts are read, whatever their length; each row is judged alone, so repeated rows give repeated results. A
+    carried column called lang_pred or score, in any case, gets _in behind it.
     """
-    inner = docs.select(*carry, F.col(text).alias("__text"))
+    inner = docs.select(*carry, docs[text]).toDF(*beside([*carry], ("lang_pred", "score", "__text")), "__text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]), "lang_pred string", "score double"])
     shipped = profiles
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -52,3 +54,59 @@ def test_n_grams_of_words_only():
     codes = language.n_grams("Ab")
     assert len(codes) == 2 + 3 + 2
     assert np.array_equal(np.sort(language.n_grams("ab, AB")), np.sort(np.concatenate([codes, codes])))
+
+
+def grams(text):
+    """The 1-, 2- and 3-grams of words in blanks, as texts."""
+    out = []
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        held = f" {word} "
+        out += [*word, *(held[i : i + 2] for i in range(len(held) - 1)), *(held[i : i + 3] for i in range(len(held) - 2))]
+    return out
+
+
+def code(gram):
+    points = [0 if c == " " else ord(c) for c in gram]
+    value = 0
+    for p in points:
+        value = (value << 21) | p
+    return value | {1: (1 << 63) | (1 << 62), 2: 1 << 63, 3: 0}[len(gram)]
+
+
+def ranked(counts, top):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:top]]
+
+
+def test_matches_plain_python(spark, labelled):
+    """Profiles, distances, predictions and scores by texts and dictionaries; very long, repeated and tied texts among them."""
+    rows = [tuple(r) for r in labelled.collect()] + [(9100, "the of and " * 5_000, None), (9101, "x", None), (9102, "ß", None), (9101, "x", None), (9103, "ẞİ ﬁ ª", None)]
+    profiles = language.learn(labelled)
+    counted = {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            counted.setdefault(lang, Counter()).update(grams(text))
+    want = {lang: ranked(c, language.TOP) for lang, c in counted.items() if c}
+    assert {name: [np.int64(x).view(np.uint64).item() for x in codes] for name, codes in profiles} == {name: [code(g) for g in own] for name, own in want.items()}
+
+    def judged(text):
+        own = ranked(Counter(grams(text or "")), language.TOP)
+        if not own:
+            return "und", 0.0
+        apart = {name: sum(abs(i - known[g]) if g in known else language.TOP for i, g in enumerate(own)) for name, p in want.items() for known in [{g: i for i, g in enumerate(p)}]}
+        best = min(sorted(apart), key=lambda n: apart[n])
+        return best, 1 - min(1, apart[best] / (language.TOP * len(own)))
+
+    out = language.predict(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), profiles, carry=("doc_id", "text")).collect()
+    for r in out:
+        assert r["lang_pred"] == judged(r["text"])[0] and r["score"] == pytest.approx(judged(r["text"])[1]), r["text"] and r["text"][:40]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the", "a", 2.0)], "doc_id long, __text string, Lang_Pred string, score double")
+    out = language.predict(docs, [], "__text", ("doc_id", "Lang_Pred", "score", "__text"))
+    assert out.columns == ["doc_id", "Lang_Pred_in", "score_in", "__text_in", "lang_pred", "score"]
+
+
+def test_more_labels_than_are_learnt(spark, labelled, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    assert [name for name, _ in language.learn(labelled)] == ["de", "fr"]
