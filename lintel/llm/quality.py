@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, plain_words
+from .shared import beside, let, plain_words
 
 WINDOW = 5
 
@@ -75,6 +75,8 @@ def _repeated_words(words: Column) -> Column:
 def _counts(words: Column, lines: Column, text: Column) -> Column:
     n_words, n_lines = F.size(words).cast("long"), F.size(lines).cast("long")
     share = lambda items, test: F.try_divide(F.size(F.filter(items, test)).cast("double"), F.size(items))
+    # words of a form, counted in the text itself: one pass of a pattern that begins and ends with a word
+    counted = lambda pattern: F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), n_words)
     return F.struct(
         n_words.alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -83,8 +85,8 @@ def _counts(words: Column, lines: Column, text: Column) -> Column:
         _repeated_words(words).alias("n_repeat_words"),
         n_lines.alias("n_lines"),
         share(words, lambda w: F.lower(w).isin(STOP_WORDS)).alias("stop_word_ratio"),
-        share(words, lambda w: w.rlike("[A-Za-z\\x{80}-\\x{10FFFF}]")).alias("letter_word_ratio"),
-        share(words, lambda w: w.rlike("^[^a-z\\x{80}-\\x{10FFFF}]*[A-Z]{2}[^a-z\\x{80}-\\x{10FFFF}]*$")).alias("upper_word_ratio"),
+        counted("(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0DA-Za-z\\x{80}-\\x{10FFFF}]*+[A-Za-z\\x{80}-\\x{10FFFF}][^\\x20\\x09-\\x0D]*+").alias("letter_word_ratio"),
+        counted("(?<![^\\x20\\x09-\\x0D])[^a-z\\x20\\x09-\\x0D\\x{80}-\\x{10FFFF}]*[A-Z]{2}[^a-z\\x20\\x09-\\x0D\\x{80}-\\x{10FFFF}]*+(?![^\\x20\\x09-\\x0D])").alias("upper_word_ratio"),
         share(lines, lambda s: s.rlike("(\\.\\.\\.|\\x{2026})[\\x20\\x09-\\x0D]*$")).alias("ellipsis_line_ratio"),
         share(lines, lambda s: s.rlike("^[\\x20\\x09]*[-*\\x{2022}]")).alias("bullet_line_ratio"),
     )
@@ -126,9 +128,10 @@ def assess(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     """docs with a struct column `quality`: n_words, the counts, base_failed, kept and the broken rules.
 
     One projection, no shuffle. Null or empty text has no words: base_failed, not kept. Repeated rows are judged
-    alike; further columns stay, and a column already called `quality` is replaced.
+    alike; further columns stay, and a column already called `quality` is then called `quality_in`.
     """
-    return docs.withColumn("quality", quality_of(F.col(text), rules))
+    own = docs.toDF(*beside(docs.columns, ("quality",)))
+    return own.withColumn("quality", quality_of(F.col(own.columns[docs.columns.index(text)]), rules))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

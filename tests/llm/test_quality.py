@@ -60,3 +60,8 @@ def test_rules(spark, text, rule):
 def test_short_texts_need_no_stop_words(spark):
     text = "üau heit ie enie chö enkeitstau enchentz schungen qaz wsx"
     assert quality.keep_good(spark.createDataFrame([(text,)], "text string")).count() == 1
+
+
+def test_a_column_called_quality_stays(spark):
+    out = quality.assess(spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, Quality string"))
+    assert out.columns == ["doc_id", "text", "Quality_in", "quality"] and out.first()["Quality_in"] == "mine"
