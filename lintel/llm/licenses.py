@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_rules import GATE, GATE_SPLIT, Signature, signatures
-from .shared import let
+from .shared import beside, let
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -70,8 +70,12 @@ def scan(docs: DataFrame, text: str = "text", rules: list[Signature] | None = No
     after suppression), each hit with first word, end, label, rule order, priority and weight.
 
     Null and empty texts have no words and no hits. Base phrases do not overlap themselves, so every place counts.
-    Rows are handled one by one: repeated rows give repeated results, and further columns stay.
+    Rows are handled one by one: repeated rows give repeated results, and further columns stay; one with the name of a
+    column above, or of a step on the way (__license_...), gets _in behind it.
     """
+    at = docs.columns.index(text)
+    docs = docs.toDF(*beside(docs.columns, ("license_words", "license_hits", "license_found", "__license_low", "__license_norm", "__license_all")))
+    text = docs.columns[at]
     rules = rules if rules is not None else signatures()
     table = F.from_json(F.lit(json.dumps([r.__dict__ for r in rules])), "array<struct<order:int,label:string,priority:int,weight:double,keyword:string,pattern:string,base:boolean>>")
     keywords = F.from_json(F.lit(json.dumps(sorted({r.keyword for r in rules}))), "array<string>")

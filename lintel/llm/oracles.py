@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from .license_rules import signatures
 from .mixing import BITS, LEVELS, MOST_REPEATS, SHARE_PERCENT, WEIGHTS
 from .quality import RULES, STOP_WORDS
 
@@ -72,5 +73,22 @@ f AS (SELECT b.source, source_size, target, arg_min(CASE WHEN (budget - (upto -
 SELECT d.doc_id, d.size, f.source_size, f.target, d.size * (CASE WHEN f.target > f.source_size THEN 1 ELSE 0 END + CASE WHEN threshold IS NULL OR h < threshold THEN 1 ELSE 0 END) AS taken FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source"""
 
 
+def licenses() -> str:
+    """All signatures over all texts, without the gate. Words stand between two blanks, so that neighbouring matches do not share one."""
+    doubled = lambda p: p.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
+    rules = ", ".join(f"({s.order}, '{s.label}', {s.priority}, {s.weight}::DOUBLE, '{s.keyword}', ' (?:{doubled(s.pattern)}) ', {str(s.base).upper()})" for s in signatures())
+    words = lambda s: f"(length({s}) - length(replace({s}, ' ', ''))) // 2"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, concat(' ', array_to_string(w, '  '), ' ') AS t FROM d),
+r(o, label, p, weight, keyword, pattern, base) AS (VALUES {rules}),
+x AS (SELECT doc_id, r.*, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS between FROM n JOIN r ON contains(replace(t, '  ', ' '), keyword)),
+h AS (SELECT doc_id, o, label, p, weight, base, unnest(range(1, len(m) + 1)) AS i, m, between FROM x WHERE len(m) > 0),
+s AS (SELECT doc_id, o, label, p, weight, base, CAST({words("concat(array_to_string(between[1:i], ''), array_to_string(m[1:i - 1], ''))")} AS BIGINT) AS s, CAST({words("m[i]")} AS BIGINT) AS l FROM h),
+k AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = a.doc_id AND b.p >= a.p AND b.s <= a.s AND b.s + b.l >= a.s + a.l AND (b.s < a.s OR b.l > a.l OR (b.l = a.l AND (b.p > a.p OR (b.p = a.p AND b.o < a.o))))) AS kept FROM s a),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR kept) AS labels, max(weight) FILTER (kept) AS score FROM k GROUP BY doc_id)
+SELECT n.doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM n LEFT JOIN g ON g.doc_id = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": jaccard(), "op6_quality_rules": quality(), "op9_decontaminate": decontaminate(), "op10_mix_sources": mixing()}
+    return {"op4_license_scan": licenses(), "op5_ngram_jaccard_join": jaccard(), "op6_quality_rules": quality(), "op9_decontaminate": decontaminate(), "op10_mix_sources": mixing()}

@@ -49,3 +49,34 @@ def test_odd_and_empty(odd, empty):
     assert licenses.scan(odd).count() == odd.count()
     assert set(odd.columns) <= set(licenses.scan(odd).columns)
     assert licenses.summary(licenses.scan(empty)).count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "MIT License", 5, 6, 7)], "doc_id long, text string, license_words int, __license_low int, License_Found int")
+    out = licenses.scan(docs)
+    assert out.columns == ["doc_id", "text", "license_words_in", "__license_low_in", "License_Found_in", "license_words", "license_found", "license_hits"] or set(docs.columns) & set(out.columns) == {"doc_id", "text", "license_words"}
+    row = out.first()
+    assert (row["license_words"], row["license_words_in"], row["__license_low_in"], row["License_Found_in"]) == (2, 5, 6, 7)
+    assert licenses.summary(out).first()["n_base"] == 1
+
+
+def wholly(text, rules):
+    """Labels and score of all rules, without gates: priority and containment by comparing all pairs."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UP))
+    norm = " " + " ".join(words) + " " if words else " "
+    hits = []
+    for r in rules:
+        for m in re.finditer(f" (?:{r.pattern})(?= )", norm):
+            start = norm[: m.start()].count(" ")
+            hits.append((start, start + m[0].count(" "), r.priority, r.order, r))
+    kept = [h for h in hits if not any(g[:4] != h[:4] and g[2] >= h[2] and g[0] <= h[0] and g[1] >= h[1] and ((g[0], -g[1], -g[2], g[3]) < (h[0], -h[1], -h[2], h[3])) for g in hits)]
+    labels = {h[4].label for h in kept} | {h[4].label for h in hits if h[4].base}
+    return ",".join(sorted(labels)), max((h[4].weight for h in kept), default=0.0)
+
+
+def test_labels_match_plain_python(spark):
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts = [t for t in docs if t and re.search("(?i)licen|copyright|rights|spdx|domain", t)][:150] + TEXTS + ["licensed under the terms of the GNU Lesser General Public License v2.1 or the MIT License, see https://opensource.org/licenses/MIT", "All\nrights reserved. Copyright 2020 2021; public\ndomain"]
+    got, rules = scanned(spark, texts), signatures()
+    for i, text in enumerate(texts):
+        assert (got[i]["labels"], got[i]["score"]) == wholly(text, rules), text and text[:80]
