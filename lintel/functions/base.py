@@ -18,7 +18,7 @@ def number(x: float | Column) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def lookup(pairs: dict[str, str], key: Column) -> Column:
+def lookup(pairs: dict, key: Column) -> Column:
     """The value of a key in a fixed map, null for others."""
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair)), key)
 

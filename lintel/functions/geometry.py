@@ -161,8 +161,8 @@ def clamp_to(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
 
 
 def label_line(cls: Column, points: Column, w: Column, h: Column) -> Column:
-    """A training label: the class and the points as parts of width and height, with six decimals."""
-    part = lambda v, whole: F.format_string("%.6f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / whole)))
+    """A training label: the class and the points as parts of width and height, with six decimals, ties to even: a tile's side is a power of two, so there are ties."""
+    part = lambda v, whole: F.format_string("%.6f", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / whole)), 6))
     return F.concat_ws(" ", cls.cast("string"), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", part(p["x"], w), part(p["y"], h))), " "))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..vocab import DETECTED_ATTRS
+from .groups import text_in_order
 from .spatial import blocked_overlap_join
 
 
@@ -135,9 +136,50 @@ def with_default_attrs(detections: DataFrame, label: str = "cls_name") -> DataFr
     return detections.withColumn("attrs", F.coalesce(F.try_element_at(F.create_map(*made), F.col(label)), F.array().cast("array<struct<name:string,value:string>>")))
 
 
+def text_strokes(ops: DataFrame, scale: float = 1.0, most: float = 60) -> DataFrame:
+    """The boxes (doc_id, page_no, op_ord, x0, y0, x1, y1) of drawing operations as small as strokes of letters: both sides over 0 and under `most`."""
+    low = lambda p, q: (F.least(p, q) * scale).alias(p)
+    high = lambda p, q: (F.greatest(p, q) * scale).alias(q)
+    boxes = ops.select("doc_id", "page_no", "op_ord", low("x0", "x1"), low("y0", "y1"), high("x0", "x1"), high("y0", "y1"))
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return boxes.where((w > 0) & (w < most) & (h > 0) & (h < most))
+
+
+def words_in_polygons(regions: DataFrame, words: DataFrame, on: Sequence[str] = ("doc_id",), key: str = "ord") -> DataFrame:
+    """Regions (on, key, points, ...) with `content`: the words (on, word_ord, cx, cy, text) inside, joined in order."""
+    b = g.bounds(F.col("points"))
+    near = F.col("cx").between(b["x0"], b["x1"]) & F.col("cy").between(b["y0"], b["y1"])
+    hits = regions.select(*on, key, "points").join(words, list(on)).where(near).where(g.contains(F.col("points"), F.col("cx"), F.col("cy"))).groupBy(*on, key).agg(text_in_order(["word_ord"], "text").alias("content"))
+    return regions.join(hits, [*on, key], "left").withColumn("content", F.coalesce("content", F.lit("")))
+
+
+def merged_candidates(texts: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """Candidates of one drawing in one table (doc_id, ord, geom, label, points, attrs, conf, source): texts, then lines, then regions.
+
+    Each part has doc_id, ord, label, points, attrs and conf; ord is counted anew over all of a drawing's.
+    """
+    parts = [part.select("doc_id", F.lit(i).alias("__p"), "ord", F.lit(geom).alias("geom"), "label", "points", "attrs", "conf") for i, (geom, part) in enumerate((("box", texts), ("polyline", lines), ("polygon", regions)))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counted = every.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("__p", "ord")) - 1)
+    return counted.drop("__p").withColumn("source", confidence_tier(F.col("conf")))
+
+
+def by_class(detections: DataFrame, by: str = "doc_id", label: str = "cls_name") -> DataFrame:
+    """(doc_id, total, by_class): how many detections a drawing has, and of each class."""
+    counted = detections.groupBy(by, label).agg(F.count("*").alias("n"))
+    return counted.groupBy(by).agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias("by_class"))
+
+
+def detection_documents(detections: DataFrame, by: str = "doc_id", order: str = "ord") -> DataFrame:
+    """(doc_id, body): the detections of each drawing as one JSON document, in order, with their number in all and by class."""
+    item = F.struct(*(c for c in detections.columns if c not in (by, order)))
+    held = detections.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.to_json(item).alias("j")))), lambda x: x["j"]).alias("items"))
+    joined = held.join(by_class(detections, by), by)
+    return joined.select(by, F.concat(F.lit('{"total_detections":'), F.col("total").cast("string"), F.lit(',"by_class":'), F.to_json("by_class"), F.lit(',"detections":['), F.array_join("items", ","), F.lit("]}")).alias("body"))
+
+
 def words_in_boxes(boxes: DataFrame, words: DataFrame, on: Sequence[str] = ("doc_id",), key: str = "ord") -> DataFrame:
     """Boxes (on, key, x0, y0, x1, y1, ...) with `content`: the words (on, word_ord, cx, cy, text) inside, joined in order."""
     inside = F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1"))
-    hits = boxes.join(words, list(on)).where(inside).groupBy(*on, key).agg(F.array_sort(F.collect_list(F.struct("word_ord", "text"))).alias("w"))
-    joined = hits.select(*on, key, F.array_join(F.transform("w", lambda x: x["text"]), "").alias("content"))
-    return boxes.join(joined, [*on, key], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    hits = boxes.join(words, list(on)).where(inside).groupBy(*on, key).agg(text_in_order(["word_ord"], "text").alias("content"))
+    return boxes.join(hits, [*on, key], "left").withColumn("content", F.coalesce("content", F.lit("")))

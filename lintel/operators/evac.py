@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -15,29 +14,31 @@ from ..sources.annotations import attr
 
 CELL = 20
 RESULT = "doc_id string, max_distance_m double, farthest_x int, farthest_y int, nearest_exit_id string, mask_cells long, unreachable_cells long"
-_STEPS = [(1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0), *((x, y, math.sqrt(2)) for x in (1, -1) for y in (1, -1))]
 
 
 def shortest(mask: np.ndarray, sources: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distance in cells of each passable cell from the nearest source (x, y), and that source; sources may lie outside the mask."""
+    """The distance in cells of each passable cell from the nearest source (x, y), and that source, the first of equals; sources may lie outside the mask.
+
+    All cells are relaxed at once from each of their eight sides until none changes.
+    """
     height, width = mask.shape
-    dist, source = np.full(mask.shape, np.inf), np.full(mask.shape, -1)
-    heap: list[tuple[float, int, int, int]] = []
-    for i, (x, y) in enumerate(sources):
+    dist, source = np.full((height + 2, width + 2), np.inf), np.full((height + 2, width + 2), len(sources))
+    for i, (x, y) in reversed(list(enumerate(sources))):
         if 0 <= x < width and 0 <= y < height:
-            dist[y, x], source[y, x] = 0.0, i
-            heap.append((0.0, x, y, i))
-    heapq.heapify(heap)
-    while heap:
-        d, x, y, i = heapq.heappop(heap)
-        if d > dist[y, x]:
-            continue
-        for dx, dy, cost in _STEPS:
-            u, v = x + dx, y + dy
-            if 0 <= u < width and 0 <= v < height and mask[v, u] and d + cost < dist[v, u]:
-                dist[v, u], source[v, u] = d + cost, i
-                heapq.heappush(heap, (d + cost, u, v, i))
-    return dist, source
+            dist[y + 1, x + 1], source[y + 1, x + 1] = 0.0, i
+    inner = dist[1:-1, 1:-1], source[1:-1, 1:-1]
+    sides = [(v, u, math.hypot(v - 1, u - 1)) for v in range(3) for u in range(3) if (v, u) != (1, 1)]
+    while True:
+        moved = False
+        for v, u, cost in sides:
+            at = slice(v, v + height), slice(u, u + width)
+            offered, by = dist[at] + cost, source[at]
+            better = mask & ((offered < inner[0]) | ((offered == inner[0]) & np.isfinite(offered) & (by < inner[1])))
+            if better.any():
+                moved = True
+                inner[0][better], inner[1][better] = offered[better], by[better]
+        if not moved:
+            return inner[0].copy(), np.where(np.isinf(inner[0]), -1, inner[1])
 
 
 def farthest(mask: np.ndarray, exits: list[tuple[str, float, float]], scale: float, cell: int = CELL) -> tuple[float | None, int | None, int | None, str | None, int, int]:

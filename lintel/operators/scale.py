@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..sources.annotations import attr
+from .groups import frequencies, mode_low
 from .spatial import nearest_join
 
 INCH = 0.0254
@@ -31,12 +32,18 @@ def from_shapes(shapes: DataFrame) -> DataFrame:
 
 def from_pages(pages: DataFrame, width_px: str = "width_px") -> DataFrame:
     """(doc_id, page_no, ratio, m_per_pt, scale, dpi) by the 1:N that a page's text names most, the smaller of equals."""
-    counted = pages.select("doc_id", "page_no", "width_pt", width_px, F.explode(tx.ratios(F.col("text"))).alias("n")).groupBy("doc_id", "page_no", "width_pt", width_px, "n").agg(F.count("*").alias("times"))
-    chosen = counted.groupBy("doc_id", "page_no", "width_pt", width_px).agg(F.min_by("n", F.struct(-F.col("times"), F.col("n"))).alias("ratio"))
+    named = pages.select("doc_id", "page_no", "width_pt", width_px, F.explode(tx.ratios(F.col("text"))).alias("ratio"))
+    chosen = mode_low(named, ["doc_id", "page_no", "width_pt", width_px], "ratio")
     per_point = F.col("ratio") / 72.0 * INCH
     return chosen.select("doc_id", "page_no", "ratio", per_point.alias("m_per_pt"), (per_point * F.col("width_pt") / F.col(width_px)).alias("scale"), F.round(F.col(width_px) / F.col("width_pt") * 72).cast("int").alias("dpi"))
 
 
+def ratio_frequencies(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, ratio_freq): how often a page's text names each 1:N."""
+    named = pages.select("doc_id", "page_no", F.explode(tx.ratios(F.col("text"))).alias("n"))
+    return frequencies(named, ["doc_id", "page_no"], "n").withColumnRenamed("freq", "ratio_freq")
+
+
 def resolve(manual: Column, written: Column) -> Column:
     """(scale, source): a positive manual scale, else that of the page's text, else missing."""
     return F.when(manual > 0, F.struct(manual.cast("double").alias("scale"), F.lit("manual").alias("source"))).when(written.isNotNull(), F.struct(written.alias("scale"), F.lit("pdf_vector_text").alias("source"))).otherwise(F.struct(F.lit(None).cast("double").alias("scale"), F.lit("missing").alias("source")))

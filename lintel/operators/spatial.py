@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
+
 
 def nearest_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: Sequence[str], distance: Column, tie: Sequence[str], within: float | None = None, how: str = "inner") -> DataFrame:
     """Each left row with its nearest right row: the columns of left, `distance`, and those of right as struct `nearest`.
@@ -30,6 +32,23 @@ def nearest_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key:
     return out.where("nearest is not null") if how == "inner" else out
 
 
+def near_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: Sequence[str], spots: Column, at: Column, tie: Sequence[str], within: float, match: Column | None = None) -> DataFrame:
+    """Each left row that has a right row within a distance, which matches if a test is given, with the nearest: like nearest_join(), but only neighbours on a grid meet.
+
+    spots is an array of a left row's points, of which the nearest counts; at is the point of a right row. A right row
+    stands in its cell and the eight around, a spot in its own, so rows of one group meet in as many tasks as it has cells.
+    """
+    cell = lambda v, d=0: F.floor(v / within).cast("long") + d
+    held = [c for c in right.columns if c not in on]
+    around = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    one = left.withColumn("__spot", F.explode(spots)).withColumn("__x", cell(F.col("__spot.x"))).withColumn("__y", cell(F.col("__spot.y")))
+    two = right.withColumn("__at", at).withColumn("__d", F.explode(around)).withColumn("__x", cell(F.col("__at.x")) + F.col("__d.x")).withColumn("__y", cell(F.col("__at.y")) + F.col("__d.y")).drop("__d")
+    pairs = one.join(two, [*on, "__x", "__y"]).withColumn("distance", F.hypot(F.col("__spot.x") - F.col("__at.x"), F.col("__spot.y") - F.col("__at.y"))).where((F.col("distance") <= within) & (F.lit(True) if match is None else match))
+    kept = [c for c in left.columns if c not in on and c not in left_key]
+    found = pairs.groupBy(*on, *left_key).agg(F.min(F.struct("distance", *tie, F.struct(*held).alias("row"))).alias("best"), *(F.first(c).alias(c) for c in kept))
+    return found.select(*left.columns, F.col("best.distance").alias("distance"), F.col("best.row").alias("nearest"))
+
+
 def first_match_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: Sequence[str], match: Column, order: Sequence[str]) -> DataFrame:
     """Each left row with the first right row by order that matches, as struct `found`; null where none does."""
     held = [c for c in right.columns if c not in on]
@@ -63,13 +82,38 @@ def blocked_overlap_join(boxes: DataFrame, on: Sequence[str], key: str, gap: flo
     return pairs.where(apart("a", "b") & apart("b", "a") & here).select(*on, c("k_a").alias("a"), c("k_b").alias("b"))
 
 
-def without_neighbour(left: DataFrame, right: DataFrame, on: Sequence[str], distance: Column, within: float) -> DataFrame:
-    """Left rows of groups that have right rows, but none within a distance."""
+def like_boxes_join(boxes: DataFrame, on: Sequence[str], key: str, least: float) -> DataFrame:
+    """(on, a, b, row_a, row_b, iou): keys a < b of boxes (struct `box` of x0, y0, x1, y1) whose intersection over union is over `least`.
+
+    Such boxes have sides within a factor of `least` of each other, and corners no further apart than the rest of a
+    side. So the first stands in one cell of a grid that goes by its size class, and the second in the few cells of the
+    few classes that it may share; a pair meets once. least must be over a half.
+    """
+    if not 0.5 < least < 1:
+        raise ValueError("boxes must share more than half")
+    box = F.col("box")
+    sides = {"w": box["x1"] - box["x0"], "h": box["y1"] - box["y0"]}
+    rest = [c for c in boxes.columns if c not in on]
+    sized = boxes.where((sides["w"] > 0) & (sides["h"] > 0)).select(*on, F.col(key).alias("k"), F.struct(*rest).alias("row"), box.alias("box"), *(v.alias(n) for n, v in sides.items()))
+    level = lambda v: F.floor(F.log2(v)).cast("int")
+    cell = lambda v, k: F.floor(v / F.pow(F.lit(2.0), k)).cast("long")
+    both = lambda low, high: F.explode(F.array_distinct(F.array(low, high)))
+    slack = 1 + 1e-9
+    one = sized.select(*on, F.col("k").alias("a"), F.col("row").alias("row_a"), F.col("box").alias("box_a"), level(F.col("w")).alias("__w"), level(F.col("h")).alias("__h")).withColumn("__x", cell(F.col("box_a.x0"), F.col("__w"))).withColumn("__y", cell(F.col("box_a.y0"), F.col("__h")))
+    off = lambda side: F.col(side) * ((1 / least - 1) * slack)
+    two = sized.select(*on, F.col("k").alias("b"), F.col("row").alias("row_b"), F.col("box").alias("box_b"), "w", "h")
+    for n in ("w", "h"):
+        two = two.withColumn(f"__{n}", both(level(F.col(n) * (least / slack)), level(F.col(n) * (slack / least))))
+    two = two.withColumn("__x", both(cell(F.col("box_b.x0") - off("w"), F.col("__w")), cell(F.col("box_b.x0") + off("w"), F.col("__w")))).withColumn("__y", both(cell(F.col("box_b.y0") - off("h"), F.col("__h")), cell(F.col("box_b.y0") + off("h"), F.col("__h")))).drop("w", "h")
+    pairs = one.join(two, [*on, "__w", "__h", "__x", "__y"]).where("a < b").withColumn("iou", g.iou(F.col("box_a"), F.col("box_b"))).where(F.col("iou") > least)
+    return pairs.select(*on, "a", "b", "row_a", "row_b", "iou")
+
+
+def none_near(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: Sequence[str], spots: Column, at: Column, within: float, other: str | None = None) -> DataFrame:
+    """Left rows of groups that have right rows, but none within a distance; neighbours meet on a grid as in near_join().
+
+    Where both sides are the same rows, `other` names the right key, and a row is no neighbour of its own.
+    """
     having = left.join(right.select(*on).distinct(), list(on), "left_semi")
-    renamed = right
-    condition = [having[c] == renamed[c] for c in on]
-    test = distance <= within
-    joined = condition[0]
-    for c in condition[1:]:
-        joined = joined & c
-    return having.join(renamed, joined & test, "left_anti")
+    near = near_join(having, right, on, left_key, spots, at, [], within, F.col(left_key[0]) != F.col(other) if other else None).select(*on, *left_key)
+    return having.join(near, [*on, *left_key], "left_anti")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,39 +13,23 @@ from ..functions import geometry as g
 from ..functions import text as tx
 from ..functions.base import lookup
 from ..operators import detect, matching
-from ..operators.evac import evacuation
 from ..operators.scale import from_pages, upper_median
-from ..operators.spatial import blocked_overlap_join, first_match_join, nearest_join, pair_join, without_neighbour
+from ..operators.spatial import blocked_overlap_join, first_match_join, like_boxes_join, near_join, nearest_join, none_near, pair_join
 from ..streaming.files import windowed_counts
-from . import dataset, qc, report
+from . import dataset, drawing_queries, quality_queries, registry, report, rule_queries  # noqa: F401  queries of their own
+from .registry import query as _query
+from .registry import table as _t
 from .rules import Rule, findings_of, lint, parse_rules
-from .rules.compiler import typed_view
+from .rules.compiler import FINDING, typed_view
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dict(registry.SQL)
 
 
 def _c(c: Column | str) -> Column:
@@ -75,17 +59,17 @@ def _targets(rows: DataFrame, doc: str) -> tuple[DataFrame, T.StructType]:
     return rows.select(F.col(doc).cast("string").alias("doc_id"), F.lit(0).alias("target_ord"), F.struct("*").alias("target")), rows.schema
 
 
-def _findings(rows: DataFrame, doc: str, rules: list[Rule]) -> DataFrame:
+def _findings(rows: DataFrame, doc: str, rules: list[Rule], fields: Sequence[str] = FINDING) -> DataFrame:
     targets, schema = _targets(rows, doc)
     nothing = typed_view(F.lit(None), T.StructType([]))
-    return findings_of(targets, list(enumerate(rules)), typed_view(F.col("target"), schema), nothing)
+    return findings_of(targets, list(enumerate(rules)), typed_view(F.col("target"), schema), nothing, fields)
 
 
-def _catalogue_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _catalogue_findings(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     ids = {"lineitem": ("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber")), "orders": ("o_orderkey", F.col("o_orderkey").cast("string")), "part": ("p_partkey", F.col("p_partkey").cast("string")), "supplier": ("s_suppkey", F.col("s_suppkey").cast("string"))}
     rules, out = parse_rules({"rules": RULES}), None
     for table, (doc, key) in ids.items():
-        found = _findings(_t(spark, sf_dir, table).withColumn("id", key), doc, [r for r in rules if r.target == table])
+        found = _findings(_t(spark, sf_dir, table).withColumn("id", key), doc, [r for r in rules if r.target == table], fields)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -102,12 +86,12 @@ UNION ALL SELECT 'R6', CAST(o_orderkey AS VARCHAR), o_orderstatus = 'P', NULL, N
 
 @_query(_FINDINGS_SQL)
 def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalogue_findings(spark, sf_dir).select("rule_id", "target_id", "passed", "value_num", "threshold_num", "message")
+    return _catalogue_findings(spark, sf_dir, "rule_id", "target_id", "passed", "value_num", "threshold_num", "message")
 
 
 @_query(f"SELECT rule_id, count(*) AS total, count(*) FILTER (passed) AS pass, count(*) FILTER (NOT passed) AS fail, count(*) FILTER (passed IS NULL) AS review FROM ({_FINDINGS_SQL}) GROUP BY rule_id")
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalogue_findings(spark, sf_dir).groupBy("rule_id").agg(_c("*").alias("total"), F.count_if("passed").alias("pass"), F.count_if(~F.col("passed")).alias("fail"), F.count_if("review_required").alias("review"))
+    return report.summary(_catalogue_findings(spark, sf_dir, "rule_id", "passed", "review_required"), "rule_id")
 
 
 @_query("SELECT l_orderkey, l_linenumber, round(least(l_extendedprice / 3, 20000), 3) AS threshold, l_quantity * 1000 <= round(least(l_extendedprice / 3, 20000), 3) AS passed FROM lineitem")
@@ -115,7 +99,7 @@ def rule_dynamic_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "lineitem").withColumn("load", F.col("l_quantity") * 1000)
     rule = _rule("D", "lineitem", [], {"type": "compare", "path": "target.load", "op": "le", "threshold_path": "target.l_extendedprice", "threshold_divisor": 3, "threshold_cap": 20000}, "")
     keyed = rows.withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    found = _findings(keyed, "l_orderkey", parse_rules({"rules": [rule]}))
+    found = _findings(keyed, "l_orderkey", parse_rules({"rules": [rule]}), ("doc_id", "target_id", "threshold_num", "passed"))
     return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), F.substring_index("target_id", "-", -1).cast("int").alias("l_linenumber"), F.col("threshold_num").alias("threshold"), "passed")
 
 
@@ -127,7 +111,7 @@ def _orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT o_orderkey, CASE WHEN count(l_orderkey) > 0 THEN CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) END AS returned, CASE WHEN count(l_orderkey) > 0 THEN count(*) FILTER (l_returnflag = 'R') >= 1 END AS passed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def rule_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = _rule("C", "orders", [], {"type": "count", "collection_path": "target.lines", "op": "ge", "threshold": 1, "filter": [{"path": "item.l_returnflag", "op": "eq", "value": "R"}]}, "")
-    found = _findings(_orders_with_lines(spark, sf_dir), "o_orderkey", parse_rules({"rules": [rule]}))
+    found = _findings(_orders_with_lines(spark, sf_dir), "o_orderkey", parse_rules({"rules": [rule]}), ("doc_id", "value_num", "passed"))
     return found.select(F.col("doc_id").cast("long").alias("o_orderkey"), F.col("value_num").alias("returned"), "passed")
 
 
@@ -136,7 +120,7 @@ def rule_sum_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = _rule("S", "orders", [], {"type": "sum_aggregate", "collection_path": "target.lines", "field": "l_quantity", "op": "le", "threshold": 100}, "")
     orders = _orders_with_lines(spark, sf_dir)
     full = orders.withColumn("lines", F.coalesce("lines", F.array().cast(orders.schema["lines"].dataType)))
-    found = _findings(full, "o_orderkey", parse_rules({"rules": [rule]}))
+    found = _findings(full, "o_orderkey", parse_rules({"rules": [rule]}), ("doc_id", "value_num", "passed"))
     return found.select(F.col("doc_id").cast("long").alias("o_orderkey"), F.col("value_num").alias("quantity"), "passed")
 
 
@@ -187,10 +171,13 @@ _NEAREST = """SELECT c_custkey, s_suppkey, round(abs(c_acctbal - s_acctbal), 2)
 SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey) WHERE n = 1"""
 
 
-def _nearest(spark: SparkSession, sf_dir: str, within: float | None) -> DataFrame:
+def _nearest(spark: SparkSession, sf_dir: str, within: float | None = None) -> DataFrame:
     customers = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
     suppliers = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    near = nearest_join(customers, suppliers, ["nation"], ["c_custkey"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), ["s_suppkey"], within)
+    if within is None:
+        near = nearest_join(customers, suppliers, ["nation"], ["c_custkey"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), ["s_suppkey"])
+    else:
+        near = near_join(customers, suppliers, ["nation"], ["c_custkey"], F.array(g.point(F.col("c_acctbal"), F.lit(0.0))), g.point(F.col("s_acctbal"), F.lit(0.0)), ["s_suppkey"], within)
     return near.select("c_custkey", F.col("nearest.s_suppkey").alias("s_suppkey"), F.round("distance", 2).alias("apart"))
 
 
@@ -240,9 +227,7 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT s_suppkey, s_nationkey FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_suppkey <> a.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 800)")
 def anti_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    two = one.toDF("nation", "other_key", "other_balance")
-    apart = F.when(F.col("s_suppkey") != F.col("other_key"), F.abs(F.col("s_acctbal") - F.col("other_balance")))
-    return without_neighbour(one, two, ["nation"], apart, 800).select("s_suppkey", F.col("nation").alias("s_nationkey"))
+    return none_near(one, one.toDF("nation", "other_key", "other_balance"), ["nation"], ["s_suppkey"], F.array(g.point(F.col("s_acctbal"), F.lit(0.0))), g.point(F.col("other_balance"), F.lit(0.0)), 800, other="other_key").select("s_suppkey", F.col("nation").alias("s_nationkey"))
 
 
 @_query("""SELECT path, match, CAST(score AS INTEGER) AS score FROM (SELECT n_name AS path, r_name AS match, score, row_number() OVER (PARTITION BY n_name ORDER BY score DESC, r_name) AS n FROM (
@@ -260,19 +245,6 @@ def lookup_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.coalesce(lookup(_ACTIONS, F.col("event_type")), F.lit("other")).alias("action"))
 
 
-@_query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY event_type")
-def unmapped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(k,) for k in _ACTIONS], "event_type string")
-    return _t(spark, sf_dir, "events").join(F.broadcast(known), "event_type", "left_anti").groupBy("event_type").agg(_c("*").alias("n"))
-
-
-@_query("""SELECT s_suppkey, c_custkey FROM (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)
-JOIN (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) USING (k, n)""")
-def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = lambda t, k, key: _t(spark, sf_dir, t).select(F.col(k).alias("k"), key, F.row_number().over(Window.partitionBy(k).orderBy(key)).alias("n"))
-    return placed("supplier", "s_nationkey", "s_suppkey").join(placed("customer", "c_nationkey", "c_custkey"), ["k", "n"]).select("s_suppkey", "c_custkey")
-
-
 # geometry
 
 
@@ -312,8 +284,8 @@ greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1,
 FROM b a JOIN b b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT vec_a, vec_b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) > 0.85""")
 def box_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _polygons(spark, sf_dir).select("label", "vec_id", g.bounds(F.col("points")).alias("box"))
-    pairs = pair_join(boxes, ["label"], "vec_id").withColumn("iou", g.iou(F.col("a.box"), F.col("b.box"))).where("iou > 0.85")
-    return pairs.select(F.col("a.vec_id").alias("vec_a"), F.col("b.vec_id").alias("vec_b"), F.round("iou", 6).alias("iou"))
+    pairs = like_boxes_join(boxes, ["label"], "vec_id", 0.85)
+    return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), F.round("iou", 6).alias("iou"))
 
 
 _GRID = "SELECT p_partkey, p_size * 97 AS w, p_size * 61 AS h FROM part"
@@ -376,26 +348,6 @@ def blocked_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocked_overlap_join(boxes, ["label"], "vec_id", 10).select("a", "b")
 
 
-@_query("SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS doc_id, x, y FROM nation, range(0, 12) t(x), range(0, 8) u(y) WHERE NOT (x = 5 AND y < 7) AND NOT (x = 8 AND y > n_regionkey)")
-def evac_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _maze(spark, sf_dir).select("doc_id", *(F.col(c).cast("long").alias(c) for c in "xy"))
-
-
-def _maze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = _t(spark, sf_dir, "nation").select("n_regionkey").distinct()
-    cells = regions.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return cells.where("not (x = 5 and y < 7) and not (x = 8 and y > n_regionkey)").select(F.col("n_regionkey").cast("string").alias("doc_id"), "x", "y")
-
-
-@_query(None)
-def evac_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways in small mazes; sequential searches, so tests hold them against plain Python."""
-    cells = _maze(spark, sf_dir)
-    docs = cells.select("doc_id").distinct()
-    exits = docs.select("doc_id", F.lit(0).alias("ord"), F.lit("EX-01").alias("id"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"))
-    return evacuation(cells, exits, docs.withColumn("scale", F.lit(0.05)))
-
-
 @_query("""WITH r AS (SELECT doc_id, CAST(unnest(list_transform(range(0, 3), lambda i: 20 * (1 + (doc_id * (i + 3)) % 4) )) AS INTEGER) AS n FROM documents),
 c AS (SELECT doc_id, n, count(*) AS t FROM r GROUP BY doc_id, n), m AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY t DESC, n) AS k FROM c)
 SELECT doc_id, n AS ratio, round(n / 72.0 * 0.0254 * 842.0 / 3508.0, 9) AS scale, CAST(300 AS INTEGER) AS dpi FROM m WHERE k = 1""")
@@ -413,65 +365,12 @@ def upper_median_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").groupBy("user_id").agg(upper_median(F.col("value")).alias("middle"))
 
 
-@_query("SELECT event_type, round(median(value), 6) AS middle FROM events GROUP BY event_type")
-def true_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("middle"))
-
-
-@_query("SELECT p_brand, p_size FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size) AS n FROM part GROUP BY p_brand, p_size) WHERE n = 1")
-def mode_tie_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _t(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
-    return counts.groupBy("p_brand").agg(F.min_by("p_size", F.struct(-F.col("n"), "p_size")).alias("p_size"))
-
-
-@_query("SELECT p_brand, array_to_string(list(concat(p_size, '=', n) ORDER BY p_size), ',') AS freq FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")
-def frequency_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _t(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
-    held = F.array_sort(F.collect_list(F.struct("p_size", "n")))
-    return counts.groupBy("p_brand").agg(F.array_join(F.transform(held, lambda x: F.concat_ws("=", x["p_size"].cast("string"), x["n"].cast("string"))), ",").alias("freq"))
-
-
-_FILL = "SELECT source, count(*) AS total, count(quality) AS filled, CASE WHEN count(quality) = 0 THEN 'none' WHEN count(quality) < count(*) THEN 'partial' ELSE 'full' END AS grade FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"
-
-
-@_query(_FILL)
-def attr_fill_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
-    filled, total = F.count("quality"), F.count("*")
-    return docs.groupBy("source").agg(total.alias("total"), filled.alias("filled"), F.when(filled == 0, "none").when(filled < total, "partial").otherwise("full").alias("grade"))
-
-
-@_query("SELECT need.t AS event_type, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'ERROR' WHEN n < need.least THEN 'WARN' ELSE 'ok' END AS level FROM (VALUES ('click', 1000000000), ('view', 1), ('never', 1)) need(t, least) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY ALL) e ON e.event_type = need.t")
-def mandatory_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = spark.createDataFrame([("click", 1_000_000_000), ("view", 1), ("never", 1)], "event_type string, least long")
-    counts = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    n = F.col("n")
-    return F.broadcast(need).join(counts, "event_type", "left").select("event_type", F.coalesce(n, F.lit(0)).alias("n"), F.when(n.isNull(), "ERROR").when(n < F.col("least"), "WARN").otherwise("ok").alias("level"))
-
-
-@_query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
-def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").groupBy("text").agg(_c("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-
-
-@_query("SELECT source, doc_id, quality FROM (SELECT source, d.doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY quality IS NULL, d.doc_id) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE n = 1")
-def dedup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
-    best = F.min(F.struct(F.col("quality").isNull().alias("blank"), "doc_id", "quality")).alias("b")
-    return docs.groupBy("source").agg(best).select("source", "b.doc_id", "b.quality")
-
-
 @_query("SELECT n_name, count(*) AS total, count(*) FILTER (c_acctbal >= 0) AS pass, count(*) FILTER (c_acctbal < 0) AS fail, count(*) FILTER (c_acctbal IS NULL) AS review, grouping(n_name) = 1 AS is_total FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_name)")
 def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", (F.col("c_acctbal") >= 0).alias("passed"), F.col("c_acctbal").isNull().alias("review_required"))
     return report.batch(findings, "n_name")
 
 
-@_query("SELECT s_suppkey, printf('DR-%03d', row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS id FROM supplier")
-def ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("DR-%03d", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).alias("id"))
-
-
 @_query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.top_rows(_t(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_totalprice")
@@ -486,18 +385,6 @@ def rule_sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.fails_by_rule(fails).select("doc_id", "seq", "rule_id", "n_rule", "target_id")
 
 
-@_query("SELECT l_orderkey, array_to_string(list(concat(l_returnflag, l_linestatus) ORDER BY l_linenumber, concat(l_returnflag, l_linestatus)), '') AS flags FROM lineitem GROUP BY l_orderkey")
-def collect_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("f"))))
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(held, lambda x: x["f"]), "").alias("flags"))
-
-
-@_query("SELECT l_suppkey, array_to_string(list_reverse_sort(list(DISTINCT CAST(round(l_discount * 100) AS INTEGER))), ',') AS discounts FROM lineitem GROUP BY l_suppkey")
-def distinct_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.sort_array(F.collect_set(F.round(F.col("l_discount") * 100).cast("int")), asc=False)
-    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.transform(values, lambda v: v.cast("string")), ",").alias("discounts"))
-
-
 @_query("SELECT CASE WHEN count(*) FILTER (value > 100) > 0 THEN 'fail' WHEN count(*) FILTER (value IS NULL) > 0 THEN 'review' ELSE 'pass' END AS verdict, user_id FROM events GROUP BY user_id")
 def three_way_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = _t(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("value") <= 100).alias("passed"), F.col("value").isNull().alias("review_required"))
@@ -568,11 +455,6 @@ def sanitize_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"), ((v > 0) & (v <= 100)).alias("fits"))
 
 
-@_query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
-def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
-
-
 @_query("SELECT p_partkey, '一' AS seq, round(p_retailprice, 2) AS area_m2, CASE WHEN p_size % 2 = 0 THEN 'public' ELSE 'equipment' END AS zone_type FROM part WHERE round(p_retailprice, 2) >= 50")
 def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = F.when(F.col("p_size") % 2 == 0, "公共区").otherwise("有人值守区")
@@ -595,42 +477,6 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.split(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", "7").select("doc_id", "split")
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels, benchmark = (_t(spark, sf_dir, n) for n in ("documents", "labels", "benchmark"))
-    item = lambda rows, level, code: rows.select(F.col("doc_id").alias("key"), F.lit(level).alias("level"), F.lit(code).alias("code"))
-    parts = [
-        item(docs.where("n_chars > 6000"), "WARN", "OUT_OF_RANGE"),
-        item(docs.where(~F.col("lang").isin("en", "de", "fr")), "INFO", "BAD_ENUM"),
-        item(docs.where("length(trim(text)) < 20"), "ERROR", "BLANK"),
-        item(docs.join(labels, "doc_id", "left_anti"), "INFO", "ORPHAN"),
-        item(docs.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1"), "WARN", "DUPLICATE"),
-        item(benchmark.where("length(text) > 300").withColumn("doc_id", -1 - F.col("item_id")), "INFO", "LONG_ITEM"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-_ITEMS = """SELECT doc_id AS key, 'WARN' AS level, 'OUT_OF_RANGE' AS code FROM documents WHERE n_chars > 6000
-UNION ALL SELECT doc_id, 'INFO', 'BAD_ENUM' FROM documents WHERE lang NOT IN ('en', 'de', 'fr')
-UNION ALL SELECT doc_id, 'ERROR', 'BLANK' FROM documents WHERE length(trim(text)) < 20
-UNION ALL SELECT doc_id, 'INFO', 'ORPHAN' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT min(doc_id), 'WARN', 'DUPLICATE' FROM documents GROUP BY text HAVING count(*) > 1
-UNION ALL SELECT -1 - item_id, 'INFO', 'LONG_ITEM' FROM benchmark WHERE length(text) > 300"""
-
-
-@_query(_ITEMS)
-def qc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir)
-
-
-@_query(f"SELECT source, count(*) FILTER (level = 'ERROR') AS errors, count(*) FILTER (level = 'WARN') AS warnings, count(*) FILTER (level = 'INFO') AS infos, CASE WHEN count(*) FILTER (level = 'ERROR') > 0 THEN 'fail' WHEN count(*) FILTER (level = 'WARN') > 0 THEN 'fix' ELSE 'pass' END AS verdict FROM documents LEFT JOIN ({_ITEMS}) i ON i.key = doc_id GROUP BY source")
-def qc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"))
-    return qc.verdict(_items(spark, sf_dir).join(files, F.col("key") == F.col("doc_id")), files).select(F.col("file").alias("source"), "errors", "warnings", "infos", "verdict")
-
-
 @_query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: hourly windows of the event stream, by the same code on a table."""

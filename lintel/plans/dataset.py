@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators.detect import training_tiles
+from ..operators.matching import locate_images
 from ..vocab import CLASSES
 
 FEW = 150
@@ -16,6 +17,12 @@ def class_id(label: Column) -> Column:
     return F.try_element_at(F.create_map(*(x for i, name in enumerate(CLASSES) for x in (F.lit(name), F.lit(i)))), label)
 
 
+def usable_images(images: DataFrame, files: DataFrame) -> DataFrame:
+    """The images that can be read and whose picture is among files (path, name, stem), with its `path`; files that cannot be parsed and images without a picture go."""
+    read = images.where(F.col("corrupt").isNull())
+    return read.join(locate_images(read.select(F.col("image").alias("name")).distinct(), files).withColumnRenamed("name", "image"), "image")
+
+
 def samples(shapes: DataFrame, tile: int | None = None, overlap: int = 200) -> DataFrame:
     """(doc_id, name, tx, ty, lines): label lines of each tile, or whole image, that has any; lines and lone shapes are left out."""
     two = F.size("points") == 2

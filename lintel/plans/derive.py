@@ -5,14 +5,15 @@ Every table has doc_id and ord, its order within the drawing, which ids and ties
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..functions.base import lookup
+from ..operators.groups import numbered
 from ..operators.scale import from_shapes, upper_median
-from ..operators.spatial import first_match_join, nearest_join, pair_join
+from ..operators.spatial import first_match_join, near_join, nearest_join, pair_join
 from ..sources.annotations import attr
 from ..vocab import ZONES
 
@@ -22,12 +23,6 @@ ADJACENT_METRES = 50
 DEFAULT_STATION = {"type": "underground", "height_m": 0.0, "transfer_lines": 1, "project_all_doors_class_A": False, "is_shared_concourse": False}
 
 
-def _numbered(rows: DataFrame, form: str) -> DataFrame:
-    """rows with ord counted from 0 in shape order, and the id that it gives."""
-    counted = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
-    return counted.withColumn("ord", F.col("__n") - 1).withColumn("id", F.format_string(form, F.col("__n"))).drop("__n")
-
-
 def _of(shapes: DataFrame, label: str, geom: str, least: int = 1) -> DataFrame:
     return shapes.where((F.col("label") == label) & (F.col("geom") == geom) & (F.size("points") >= least))
 
@@ -60,13 +55,13 @@ def structure(shapes: DataFrame, scales: DataFrame | None = None, meta: DataFram
     stations = station_meta(shapes, meta)
 
     zone = F.coalesce(lookup(ZONES, attr("zone_type")), F.lit("public"))
-    rings = _numbered(_of(s, "fire_compartment", "polygon", 3), "FC-%02d")
+    rings = numbered(_of(s, "fire_compartment", "polygon", 3), "FC-%02d")
     claim, measured = tx.first_number(attr("area_m2_design")), g.area(points, scale)
     compartments = rings.select("doc_id", "ord", "id", F.coalesce(_nonzero(claim), measured).alias("area_m2"), claim.alias("area_m2_design"), measured.alias("area_m2_geom"), zone.alias("zone_type"), "points")
     walls = compartments.select("doc_id", F.col("ord").alias("fc_ord"), F.col("id").alias("fc_id"), F.col("zone_type").alias("fc_zone"), F.col("points").alias("ring"))
 
     middle = g.mean_point(points)
-    exits = _numbered(_of(s, "safety_exit", "box", 2), "EX-%02d").select("doc_id", "ord", "id", middle["x"].alias("cx"), middle["y"].alias("cy"), attr("pair_id").alias("pair_id"), F.col("width").alias("w"), F.col("height").alias("h"), "scale")
+    exits = numbered(_of(s, "safety_exit", "box", 2), "EX-%02d").select("doc_id", "ord", "id", middle["x"].alias("cx"), middle["y"].alias("cy"), attr("pair_id").alias("pair_id"), F.col("width").alias("w"), F.col("height").alias("h"), "scale")
     near = g.contains(F.col("ring"), F.col("cx"), F.col("cy")) | (g.boundary_distance(F.col("ring"), F.col("cx"), F.col("cy")) < EXIT_NEAR)
     placed = first_match_join(exits, walls, ["doc_id"], ["ord"], near, ["fc_ord"])
     exit_zone = F.coalesce("found.fc_zone", F.lit("public"))
@@ -85,13 +80,13 @@ def structure(shapes: DataFrame, scales: DataFrame | None = None, meta: DataFram
     lines = _of(s, "width_dimension_line", "polyline").select("doc_id", F.col("ord").alias("line_ord"), F.col("points").alias("line"), F.col("scale").alias("line_scale"))
     boxes = s.where(F.col("label").isin("fire_door", "stair_escalator", "gate") & (F.col("geom") == "box") & (F.size("points") >= 2)).select("doc_id", F.col("ord").alias("box_ord"), F.col("label").alias("box_label"), middle.alias("box_at"))
     tests = F.concat(F.array(F.get("line", F.lit(0)), F.element_at("line", -1)), F.array(g.mean_point(F.col("line"))))
-    measured_by = nearest_join(lines, boxes, ["doc_id"], ["line_ord"], F.array_min(F.transform(tests, lambda p: F.hypot(p["x"] - F.col("box_at.x"), p["y"] - F.col("box_at.y")))), ["box_ord"], within=LINE_NEAR)
+    measured_by = near_join(lines, boxes, ["doc_id"], ["line_ord"], tests, F.col("box_at"), ["box_ord"], LINE_NEAR)
     opening = g.length(F.col("line"), F.col("line_scale"))
     last_line = measured_by.where("nearest.box_label = 'fire_door'").groupBy("doc_id", F.col("nearest.box_ord").alias("shape_ord")).agg(F.max_by(g.net_door_width(opening), "line_ord").alias("net"))
     width = lambda c: F.when(c != 0, F.round(c, 3))
 
     door_shapes = _of(s, "fire_door", "box", 2).withColumn("shape_ord", F.col("ord")).withColumn("swing", attr("swing_dir")).withColumn("cls", attr("class"))
-    doors = _numbered(door_shapes, "DR-%03d").select("doc_id", "ord", "id", "shape_ord", middle["x"].alias("cx"), middle["y"].alias("cy"), "swing", "cls").join(last_line, ["doc_id", "shape_ord"], "left")
+    doors = numbered(door_shapes, "DR-%03d").select("doc_id", "ord", "id", "shape_ord", middle["x"].alias("cx"), middle["y"].alias("cy"), "swing", "cls").join(last_line, ["doc_id", "shape_ord"], "left")
     in_zone = first_match_join(doors, walls, ["doc_id"], ["ord"], g.contains(F.col("ring"), F.col("cx"), F.col("cy")), ["fc_ord"])
     on_wall = F.coalesce(g.boundary_distance(F.col("found.ring"), F.col("cx"), F.col("cy")) < WALL_NEAR, F.lit(False))
     door = in_zone.select(
@@ -100,14 +95,14 @@ def structure(shapes: DataFrame, scales: DataFrame | None = None, meta: DataFram
         F.when(F.col("cls") == "", "unknown").otherwise(F.col("cls")).alias("class"), on_wall.alias("is_on_firewall"), F.lit(False).alias("is_always_open"),
     )
     ways = measured_by.where("nearest.box_label <> 'fire_door'").select("doc_id", F.col("line_ord").alias("ord"), F.col("nearest.box_label").alias("box_label"), opening.alias("wide"))
-    corridor = _numbered(ways, "COR-%02d").select("doc_id", "ord", "id", F.when(F.col("box_label") == "stair_escalator", "evac_stair").otherwise("evac_corridor").alias("kind"), width(F.col("wide")).alias("clear_width_m"), F.lit(None).cast("double").alias("length_m"))
+    corridor = numbered(ways, "COR-%02d").select("doc_id", "ord", "id", F.when(F.col("box_label") == "stair_escalator", "evac_stair").otherwise("evac_corridor").alias("kind"), width(F.col("wide")).alias("clear_width_m"), F.lit(None).cast("double").alias("length_m"))
 
-    evac = _numbered(_of(s, "evac_distance_line", "polyline", 0), "EVAC-%02d").select("doc_id", "ord", "id", F.coalesce(_nonzero(tx.first_number(attr("text_content"))), g.length(points, scale)).alias("length_m"), F.lit("any_to_exit").alias("kind"), attr("pair_id").alias("pair_id"))
-    shops = _numbered(_of(s, "commercial_shop", "polygon"), "SHOP-%02d").select("doc_id", "ord", "id", g.area(points, scale).alias("area_m2"), middle.alias("at"), "scale")
+    evac = numbered(_of(s, "evac_distance_line", "polyline", 0), "EVAC-%02d").select("doc_id", "ord", "id", F.coalesce(_nonzero(tx.first_number(attr("text_content"))), g.length(points, scale)).alias("length_m"), F.lit("any_to_exit").alias("kind"), attr("pair_id").alias("pair_id"))
+    shops = numbered(_of(s, "commercial_shop", "polygon"), "SHOP-%02d").select("doc_id", "ord", "id", g.area(points, scale).alias("area_m2"), middle.alias("at"), "scale")
     shop_pairs = pair_join(shops, ["doc_id"], "ord")
     shop_pair = shop_pairs.select("doc_id", (a["ord"] * 100_000 + b["ord"]).alias("ord"), F.format_string("SP-%d-%d", a["ord"] + 1, b["ord"] + 1).alias("id"), a["id"].alias("shop_a"), b["id"].alias("shop_b"), (F.hypot(a["at"]["x"] - b["at"]["x"], a["at"]["y"] - b["at"]["y"]) * _nonzero(a["scale"])).alias("opening_distance_m"))
     wide = F.abs(F.get("points", F.lit(1))["x"] - F.get("points", F.lit(0))["x"]) * _nonzero(scale)
-    shutter = _numbered(_of(s, "fire_shutter", "box", 2), "FS-%02d").select("doc_id", "ord", "id", wide.alias("opening_width_m"), wide.alias("shutter_width_m"))
+    shutter = numbered(_of(s, "fire_shutter", "box", 2), "FS-%02d").select("doc_id", "ord", "id", wide.alias("opening_width_m"), wide.alias("shutter_width_m"))
 
     held = lambda rows, *columns: F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*columns).alias("item")))), lambda x: x["item"])
     exit_item = ("id", "leads_to", "direction_group", "zone", "pair_id", "center_px")
@@ -133,6 +128,17 @@ def structure(shapes: DataFrame, scales: DataFrame | None = None, meta: DataFram
     }
 
 
+def median_door_width(doors: DataFrame) -> DataFrame:
+    """(doc_id, doors, median_width_m): the upper median of the known widths of a drawing's doors."""
+    return doors.where("clear_width_m is not null").groupBy("doc_id").agg(F.count("*").alias("doors"), upper_median(F.col("clear_width_m")).alias("median_width_m"))
+
+
+def with_rings(compartments: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Compartments with the `points` of the polygon in their place: the i-th row and the i-th compartment drawn."""
+    rings = numbered(_of(shapes, "fire_compartment", "polygon", 3), "FC-%02d").select("doc_id", "ord", "points")
+    return compartments.join(rings, ["doc_id", "ord"])
+
+
 def building_clearance(shapes: DataFrame) -> DataFrame:
     """Clearances of a site drawing: each building with its category and the nearest exit or vent.
 
@@ -144,7 +150,7 @@ def building_clearance(shapes: DataFrame) -> DataFrame:
     dims = _of(shapes, "dimension_val", "box").select("doc_id", F.col("ord").alias("dim_ord"), tx.first_number(attr("text_content")).alias("metres"), centre.alias("dim_at")).where("metres is not null")
     apart = lambda p, q: F.hypot(F.col(f"{p}.x") - F.col(f"{q}.x"), F.col(f"{p}.y") - F.col(f"{q}.y"))
     scale = nearest_join(lines, dims, ["doc_id"], ["line_ord"], apart("line_at", "dim_at"), ["dim_ord"]).groupBy("doc_id").agg(upper_median(F.col("nearest.metres") / F.col("px")).alias("scale"))
-    buildings = _numbered(_of(shapes, "surrounding_building", "polygon", 3), "BC-%02d").select("doc_id", "ord", "id", F.col("points").alias("ring"), centre.alias("at"), *(attr(n).alias(n) for n in ("building_type", "name", "fire_rating", "floors", "height_m")))
+    buildings = numbered(_of(shapes, "surrounding_building", "polygon", 3), "BC-%02d").select("doc_id", "ord", "id", F.col("points").alias("ring"), centre.alias("at"), *(attr(n).alias(n) for n in ("building_type", "name", "fire_rating", "floors", "height_m")))
     metas = _of(shapes, "building_meta", "box").select("doc_id", F.col("ord").alias("meta_ord"), attr("text_content").alias("meta"), centre.alias("meta_at"))
     told = nearest_join(buildings, metas, ["doc_id"], ["ord"], apart("at", "meta_at"), ["meta_ord"], how="left").withColumn("meta", F.coalesce("nearest.meta", F.lit(""))).drop("nearest", "distance")
     kinds = {"station_exit_ground": "出入口", "vent_group_ground": "风亭"}
@@ -172,11 +178,21 @@ def fill_designed_area(compartments: DataFrame, rings: DataFrame, numbers: DataF
     return joined.withColumn("area_m2", area).withColumn("area_m2_design", filled).select(*compartments.columns)
 
 
-def with_effective_exits(compartments: DataFrame, doors: DataFrame) -> DataFrame:
-    """Opt-in: effective exits are the exits and the always-open class A doors on the compartment's fire wall."""
+def door_sides(shapes: DataFrame) -> DataFrame:
+    """(doc_id, id, fc_id): each door with every compartment on whose ring it stands, those of both sides of a wall."""
+    middle = g.mean_point(F.col("points"))
+    doors = numbered(_of(shapes, "fire_door", "box", 2), "DR-%03d").select("doc_id", "id", middle["x"].alias("cx"), middle["y"].alias("cy"))
+    rings = numbered(_of(shapes, "fire_compartment", "polygon", 3), "FC-%02d").select("doc_id", F.col("id").alias("fc_id"), F.col("points").alias("ring"))
+    b = g.bounds(F.col("ring"))
+    near = F.col("cx").between(b["x0"] - WALL_NEAR, b["x1"] + WALL_NEAR) & F.col("cy").between(b["y0"] - WALL_NEAR, b["y1"] + WALL_NEAR)
+    return doors.join(rings, "doc_id").where(near).where(g.boundary_distance(F.col("ring"), F.col("cx"), F.col("cy")) < WALL_NEAR).select("doc_id", "id", "fc_id")
+
+
+def with_effective_exits(compartments: DataFrame, doors: DataFrame, sides: DataFrame) -> DataFrame:
+    """Opt-in: effective exits are the exits and, for compartments on either side (doc_id, id, fc_id), the always-open class A doors on the fire wall."""
     item = F.struct(F.col("id"), F.lit("other").alias("leads_to"), F.lit(None).cast("string").alias("direction_group"), "zone", F.lit(None).cast("string").alias("pair_id"), F.lit(None).cast("array<double>").alias("center_px"))
-    open_doors = doors.where("is_always_open and is_on_firewall and class = '甲级'").groupBy("doc_id", F.col("zone").alias("zone_type")).agg(F.collect_list(item).alias("more"))
-    return compartments.join(open_doors, ["doc_id", "zone_type"], "left").withColumn("effective_exits", F.concat("exits", F.coalesce("more", F.array().cast(compartments.schema["exits"].dataType)))).select(*compartments.columns)
+    open_doors = doors.where("is_always_open and is_on_firewall and class = '甲级'").join(sides, ["doc_id", "id"]).groupBy("doc_id", "fc_id").agg(F.array_sort(F.collect_list(item)).alias("more"))
+    return compartments.join(open_doors.withColumnRenamed("fc_id", "id"), ["doc_id", "id"], "left").withColumn("effective_exits", F.concat("exits", F.coalesce("more", F.array().cast(compartments.schema["exits"].dataType)))).select(*compartments.columns)
 
 
 def vent_pairs(shapes: DataFrame, scales: DataFrame, higher: DataFrame | None = None) -> DataFrame:

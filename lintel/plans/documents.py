@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
+from ..operators.groups import first_rows
 
 #: Values read off a drawing: areas in square metres and distances in metres by size.
 AREAS, DISTANCES = (300.0, 20_000.0), (10.0, 80.0)
@@ -32,8 +33,8 @@ def compartments_of_text(blocks: DataFrame) -> DataFrame:
     Of several writings of one ordinal, one with a zone goes before one without, and else the first.
     """
     found = blocks.where(F.contains("text", F.lit("防火分区"))).select("doc_id", "page_no", "block_ord", "bbox", F.posexplode(tx.sections(F.col("text"))).alias("at", "s"))
-    order = Window.partitionBy("doc_id", "s.seq").orderBy(F.col("s.zone_type") == "unknown", "page_no", "block_ord", "at")
-    chosen = found.withColumn("n", F.row_number().over(order)).where("n = 1")
+    told = found.withColumn("seq", F.col("s.seq"))
+    chosen = first_rows(told, ["doc_id", "seq"], [F.col("s.zone_type") == "unknown", F.col("page_no"), F.col("block_ord"), F.col("at")])
     return chosen.select("doc_id", F.col("s.seq").alias("seq"), F.concat(F.lit("防火分区"), "s.seq").alias("id"), "s.area_m2", "s.zone_type", "s.zone_text", "block_ord", F.transform("bbox", lambda v: F.round(v, 1)).alias("bbox"))
 
 
@@ -66,6 +67,50 @@ def inverse_scale(numbers: DataFrame, regions: DataFrame) -> DataFrame:
     return largest.join(drawn, "doc_id").select("doc_id", F.sqrt(F.col("m2") / F.col("px2")).alias("scale"))
 
 
+def distinct_values(numbers: DataFrame) -> DataFrame:
+    """(doc_id, areas, distances): the distinct areas of a drawing's read numbers to two digits, largest first, and distances to one, smallest first."""
+    kind = route(F.col("value"))
+    held = lambda name, digits: F.collect_set(F.when(kind == name, F.round("value", digits)))
+    return numbers.groupBy("doc_id").agg(F.sort_array(held("area", 2), asc=False).alias("areas"), F.sort_array(held("distance", 1)).alias("distances"))
+
+
+def public_fields(body: Column) -> Column:
+    """A JSON object without its fields whose names begin with an underscore, and so the objects of its lists; null for what is no object."""
+    fields = F.map_filter(F.from_json(body, "map<string,variant>"), lambda k, _: ~F.startswith(k, F.lit("_")))
+
+    def item(v: Column) -> Column:
+        inner = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~F.startswith(k, F.lit("_")))
+        return F.coalesce(F.to_json(inner), F.to_json(v))
+
+    def value(v: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), item), ","), F.lit("]")), F.to_json(v))
+
+    written = F.transform(F.map_entries(fields), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit("\x00"), value(e["value"])))
+    # the key's array brackets go
+    return F.concat(F.lit("{"), F.array_join(F.transform(written, lambda s: F.concat(F.regexp_replace(F.substring_index(s, "\x00", 1), "^\\[|\\]$", ""), F.lit(":"), F.substring(s, F.instr(s, "\x00") + 1, F.length(s)))), ","), F.lit("}"))
+
+
+def public_columns(rows: DataFrame) -> DataFrame:
+    """rows without the columns whose names begin with an underscore."""
+    return rows.select(*(c for c in rows.columns if not c.startswith("_")))
+
+
+def flat_findings(findings: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, body): the flat document of a drawing's written compartments, as of compartments_of_text(), and of its findings."""
+    item = F.struct("seq", F.to_json(F.struct("id", "area_m2", "zone_type")).alias("j"))
+    zones = texts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["j"]), ",").alias("zones"))
+    found = findings.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_ord", "target_ord", F.to_json(F.struct("rule_id", "target_id", "passed", "value", "threshold")).alias("j")))), lambda x: x["j"]), ",").alias("found"))
+    joined = zones.join(found, "doc_id", "left")
+    return joined.select("doc_id", F.concat(F.lit('{"source":"vector_text","fire_compartment":['), "zones", F.lit('],"findings":['), F.coalesce("found", F.lit("")), F.lit("]}")).alias("body"))
+
+
+def measurement_reports(shapes: DataFrame) -> DataFrame:
+    """(doc_id, image, label, n, area_m2, length_m): the measured shapes of each image by type, areas and lengths added up; shapes carry a `scale`."""
+    points, scale = F.col("points"), F.col("scale")
+    area, length = F.when(F.col("geom") == "polygon", g.area(points, scale)), F.when(F.col("geom") == "polyline", g.length(points, scale))
+    return shapes.groupBy("doc_id", "image", "label").agg(F.count("*").alias("n"), F.sum(area).alias("area_m2"), F.sum(length).alias("length_m"))
+
+
 def measurements(shapes: DataFrame) -> DataFrame:
     """(doc_id, image, measured): each shape of an image with its area, length and centre, as one array in order; shapes carry a `scale`."""
     points, scale = F.col("points"), F.col("scale")

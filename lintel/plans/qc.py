@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..functions.base import any_of, first_match
-from ..operators.spatial import pair_join
+from ..operators.spatial import like_boxes_join
 from ..sources.annotations import attr
 from ..vocab import ENUMS, EQUIPMENT_ROOMS, LABELS, MANDATORY, MOST_SHOPS
 
@@ -40,6 +40,23 @@ def _item(rows: DataFrame, level: Column | str, code: Column | str, detail: Colu
     return rows.select("file", (F.col(image) if has else F.lit(None).cast("string")).alias("image"), text(level).alias("level"), text(code).alias("code"), text(detail).alias("detail"))
 
 
+def filled(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, total, filled, grade): how many rows of a group have a value that is not empty: none, partial or full."""
+    has = F.count_if(F.coalesce(F.col(value).cast("string"), F.lit("")) != "")
+    return rows.groupBy(*by).agg(F.count("*").alias("total"), has.alias("filled")).withColumn("grade", F.when(F.col("filled") == 0, "none").when(F.col("filled") < F.col("total"), "partial").otherwise("full"))
+
+
+def lacking(needs: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of needs (on, need) whose count (on, got) is less, with `got` and a level: ERROR for none, else WARN."""
+    got = F.coalesce("got", F.lit(0))
+    return needs.join(counts, on, "left").where(got < F.col("need")).withColumn("level", F.when(got == 0, "ERROR").otherwise("WARN")).withColumn("got", got)
+
+
+def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n) of keys that stand more than once."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def _label_checks(shapes: DataFrame) -> list[DataFrame]:
     known = F.col("label").isin(list(LABELS))
     bad = _item(shapes.where(~known), F.when(F.col("label").rlike(_HAN), "ERROR").otherwise("WARN"), "BAD_LABEL", F.col("label"))
@@ -64,7 +81,7 @@ def _label_checks(shapes: DataFrame) -> list[DataFrame]:
     out.append(_item(a.where(allowed.isNotNull() & (value != "") & ~F.array_contains(allowed, value)), "WARN", "BAD_ENUM", F.concat_ws(".", "label", name, value)))
     need = s.select("file", "image", "label", "attrs", F.explode(_vocabulary("required")).alias("req"))
     last = F.try_element_at(F.filter("attrs", lambda x: x["name"] == F.col("req")), F.lit(-1))["value"]
-    fill = need.groupBy("file", "image", "label", "req").agg(F.count("*").alias("total"), F.count_if(F.coalesce(last, F.lit("")) != "").alias("filled")).where("filled < total")
+    fill = filled(need.withColumn("value", last), ["file", "image", "label", "req"], "value").where("grade <> 'full'")
     none = F.col("filled") == 0
     out.append(_item(fill, F.when(none, "INFO").otherwise("WARN"), F.when(none, "ATTR_ALL_BLANK").otherwise("ATTR_PARTIAL"), F.format_string("%s.%s %d/%d", "label", "req", "filled", "total")))
     return out
@@ -97,8 +114,7 @@ def _place_checks(s: DataFrame) -> list[DataFrame]:
 def _count_checks(shapes: DataFrame, images: DataFrame, kinds: DataFrame) -> list[DataFrame]:
     vocabulary = shapes.sparkSession.createDataFrame([(k, label, n) for k, needs in MANDATORY.items() for label, n in needs.items()], "group string, label string, need int")
     counts = shapes.groupBy("file", "label").agg(F.count("*").alias("got"))
-    got = F.coalesce("got", F.lit(0))
-    lacking = kinds.join(F.broadcast(vocabulary), "group").join(counts, ["file", "label"], "left").where(got < F.col("need"))
+    missing = lacking(kinds.join(F.broadcast(vocabulary), "group"), counts, ["file", "label"])
     shops = shapes.where("label = 'commercial_shop'").groupBy("file", "image").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SHOPS)
     both = shapes.groupBy("file").agg(F.count_if(F.col("label") == "commercial_shop").alias("shops"), F.count_if(F.col("label") == "room_title").alias("rooms")).where("shops > 5 and shops = rooms")
     known = shapes.where(F.col("label").isin(list(LABELS)))
@@ -109,18 +125,18 @@ def _count_checks(shapes: DataFrame, images: DataFrame, kinds: DataFrame) -> lis
     evac = known.where("label = 'evac_distance_line'").join(hall, "file", "left_semi").select("file", "image", "doc_id", attr("pair_id").alias("pair"), attr("text_content").alias("said"), "points")
     hall_images = images.join(hall, "file", "left_semi")
     none = hall_images.join(evac.select("doc_id"), "doc_id", "left_anti")
-    repeated = evac.where("pair <> ''").groupBy("file", "image", "doc_id", "pair").agg(F.count("*").alias("n")).where("n > 1").groupBy("file", "image", "doc_id").agg(F.array_join(F.array_sort(F.collect_list("pair")), ",").alias("pairs"))
+    twice = repeated(evac.where("pair <> ''"), ["file", "image", "doc_id", "pair"]).groupBy("file", "image", "doc_id").agg(F.array_join(F.array_sort(F.collect_list("pair")), ",").alias("pairs"))
     exits = known.where("label = 'safety_exit'").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(tx.split_ids(attr("pair_id"))))).alias("exits")).where(F.size("exits") > 0)
     unpaired = evac.where("pair <> ''").join(exits, "doc_id").where(~F.array_contains("exits", F.col("pair")))
     value = tx.sanitized_number(F.col("said"))
     said = evac.where("said <> ''")
     return [
-        _item(lacking, F.when(got == 0, "ERROR").otherwise("WARN"), F.when(got == 0, "MISSING_CLASS").otherwise("TOO_FEW"), F.format_string("%s %d/%d", "label", got, "need")),
+        _item(missing, F.col("level"), F.when(F.col("got") == 0, "MISSING_CLASS").otherwise("TOO_FEW"), F.format_string("%s %d/%d", "label", "got", "need")),
         _item(shops, "WARN", "SHOP_OVER", F.col("n").cast("string")),
         _item(both, "WARN", "SHOP_EQ_ROOM", F.col("shops").cast("string")),
         _item(rooms.join(hall, "file", "left_semi"), "WARN", "NO_EQUIP_ZONE", ""),
         _item(none, "ERROR", "NO_EVAC_LINE", ""),
-        _item(repeated, "WARN", "DUP_PAIR_ID", F.col("pairs")),
+        _item(twice, "WARN", "DUP_PAIR_ID", F.col("pairs")),
         _item(unpaired, "INFO", "NO_EXIT_PAIR", F.col("pair")),
         _item(said.where(value.isNotNull() & ((value <= 0) | (value > 100))), "WARN", "EVAC_TEXT_RANGE", F.col("said")),
         _item(said.where(value.isNull()), "WARN", "EVAC_TEXT_NONNUM", F.col("said")),
@@ -133,22 +149,23 @@ def _duplicates(shapes: DataFrame, across_images: bool) -> DataFrame:
     """At most one for each earlier box: whether some later one of its label lies over it."""
     boxes = shapes.where((F.col("geom") == "box") & (F.size("points") == 2) & F.col("label").isin(list(LABELS)))
     on = ["file", "label"] if across_images else ["file", "image", "doc_id", "label"]
-    row = boxes.select(*dict.fromkeys([*on, "image"]), F.concat_ws("/", F.format_string("%012d", F.hash("doc_id").cast("long") + 2**31), F.format_string("%09d", "ord")).alias("at"), g.bounds(F.col("points")).alias("box"))
-    pairs = pair_join(row, on, "at").where(g.iou(F.col("a.box"), F.col("b.box")) > SAME_BOX)
-    once = pairs.select(*on, F.col("a.at").alias("at"), *([F.col("a.image").alias("image")] if across_images else [])).distinct()
+    row = boxes.select(*dict.fromkeys([*on, "image"]), F.struct(F.length("doc_id").alias("l"), "doc_id", "ord").alias("at"), g.bounds(F.col("points")).alias("box"))
+    once = like_boxes_join(row, on, "at", SAME_BOX).select(*on, "a", *([F.col("row_a.image").alias("image")] if across_images else [])).distinct()
     return _item(once, "INFO", "DUP_SHAPE", F.col("label"))
 
 
-def qc_items(shapes: DataFrame, images: DataFrame, kinds: DataFrame | None = None, across_images: bool = False) -> DataFrame:
+def qc_items(shapes: DataFrame, images: DataFrame, kinds: DataFrame | None = None, across_images: bool = False, files: DataFrame | None = None) -> DataFrame:
     """(file, image, level, code, detail) of all findings; images has a row for each image, also those without shapes.
 
     kinds gives (file, group) where it is known; else drawing_type() tells it. Duplicates are sought within an image,
-    or across those of a file.
+    or across those of a file. files gives (file) of all that were looked for: one without an image, or with none that
+    can be read, has NO_IMAGE; without files, those of images are all.
     """
     kinds = kinds if kinds is not None else drawing_type(shapes)
     known = shapes.where(F.col("label").isin(list(LABELS)))
     parts = [*_label_checks(shapes), *_place_checks(known), *_count_checks(shapes, images, kinds), _duplicates(shapes, across_images)]
-    parts.append(_item(images.where("corrupt is not null"), "ERROR", "NO_IMAGE", ""))
+    listed = images.select("file") if files is None else images.select("file").unionByName(files.select("file"))
+    parts.append(_item(listed.distinct().join(images.where("corrupt is null").select("file").distinct(), "file", "left_anti"), "ERROR", "NO_IMAGE", ""))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import lookup
-from ..functions.text import shortened
+from ..functions.text import contains_any, shortened
+from ..vocab import EQUIPMENT_ROOMS
 from .opinions import OPINIONS
 from .rules.model import Condition, Rule
 
@@ -18,9 +19,9 @@ def _counts() -> list[Column]:
     return [F.count("*").alias("total"), F.count_if("passed").alias("pass"), F.count_if(~F.col("passed")).alias("fail"), F.count_if("review_required").alias("review")]
 
 
-def summary(findings: DataFrame) -> DataFrame:
-    """total, pass, fail and review of all findings."""
-    return findings.agg(*_counts())
+def summary(findings: DataFrame, *by: str) -> DataFrame:
+    """total, pass, fail and review of all findings, or of each group of them."""
+    return findings.groupBy(*by).agg(*_counts())
 
 
 def batch(findings: DataFrame, by: str = "doc_id") -> DataFrame:
@@ -84,10 +85,50 @@ def marks(findings: DataFrame) -> DataFrame:
     return marked.select("doc_id", "target_type", "target_id", colour.alias("colour"), F.col("m.rule_id").alias("rule_id"), shortened(F.col("m.message")).alias("label"))
 
 
-def checklist(candidates: DataFrame, by: str = "doc_id") -> DataFrame:
-    """(doc_id, total, to_review, untyped_zones, by_label) of candidates (label, conf, zone_type)."""
-    counted = candidates.groupBy(by, "label").agg(F.count("*").alias("n"), F.count_if(F.col("conf") < 0.7).alias("unsure"), F.count_if((F.col("label") == "fire_compartment") & F.col("zone_type").isNull()).alias("untyped"))
-    return counted.groupBy(by).agg(F.sum("n").alias("total"), F.sum("unsure").alias("to_review"), F.sum("untyped").alias("untyped_zones"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "label", F.col("n").cast("string")))), ", ").alias("by_label"))
+def batch_markdown(findings: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(text): one Markdown report of a batch: the totals, and a line for each drawing, by name. It has a line for each drawing, so it is a report of a batch, not of an archive."""
+    rows = batch(findings, by)
+    total = F.max(F.when(F.col("is_total"), F.struct("total", "pass", "fail", "review")))
+    line = F.when(~F.col("is_total"), F.struct(F.col(by).alias("k"), F.format_string("| %s | %d | %d | %d | %d |", by, "total", "pass", "fail", "review").alias("line")))
+    held = rows.agg(total.alias("t"), F.array_sort(F.collect_list(line)).alias("lines"))
+    head = F.format_string("# Batch review\n\nDrawings: %d\n\n| total | pass | fail | review |\n|-|-|-|-|\n| %d | %d | %d | %d |\n\n| drawing | total | pass | fail | review |\n|-|-|-|-|-|\n", F.size("lines"), "t.total", "t.pass", "t.fail", "t.review")
+    return held.select(F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def findings_documents(findings: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(doc_id, body): the findings of each drawing in order as one JSON document, with their summary."""
+    item = F.struct("rule_ord", "target_ord", F.to_json(F.struct("rule_id", "target_id", "passed", "review_required", "value", "threshold", "severity", "message"), {"ignoreNullFields": "false"}).alias("j"))
+    held = findings.groupBy(by).agg(F.to_json(F.struct(*_counts())).alias("summary"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["j"]).alias("items"))
+    return held.select(by, F.concat(F.lit('{"summary":'), "summary", F.lit(',"findings":['), F.array_join("items", ","), F.lit("]}")).alias("body"))
+
+
+def label_counts(shapes: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(doc_id, label, n): how many shapes of each label a drawing has."""
+    return shapes.groupBy(by, "label").agg(F.count("*").alias("n"))
+
+
+def checklist(candidates: DataFrame, by: str = "doc_id", sure: float = 0.7) -> DataFrame:
+    """(doc_id, total, to_review, zones, equipment_rooms, lacks_equipment_zone, by_label) of candidates (label, conf, zone_type, content)."""
+    zone = F.col("label") == "fire_compartment"
+    room = (F.col("label") == "room_title") & contains_any(F.col("content"), EQUIPMENT_ROOMS)
+    typed = zone & F.coalesce(F.col("zone_type").isin("无人区", "有人值守区"), F.lit(False))
+    counted = candidates.groupBy(by, "label").agg(F.count("*").alias("n"), F.count_if(F.col("conf") < sure).alias("unsure"), F.count_if(zone).alias("zones"), F.count_if(room).alias("rooms"), F.count_if(typed).alias("typed"))
+    total = lambda c, name: F.sum(c).alias(name)
+    return counted.groupBy(by).agg(
+        total("n", "total"), total("unsure", "to_review"), total("zones", "zones"), total("rooms", "equipment_rooms"), ((F.sum("rooms") > 0) & (F.sum("typed") == 0)).alias("lacks_equipment_zone"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "label", F.col("n").cast("string")))), ", ").alias("by_label"),
+    )
+
+
+def checklist_text(candidates: DataFrame, by: str = "doc_id", sure: float = 0.7) -> DataFrame:
+    """(doc_id, text): the checklist of a drawing's candidates as lines of text."""
+    lines = F.array(
+        F.format_string("To confirm: %d of %d", "to_review", "total"),
+        F.when(F.col("zones") > 0, F.format_string("Zone types of %d compartments are guesses: confirm each", "zones")),
+        F.when(F.col("lacks_equipment_zone"), F.format_string("%d equipment rooms, but no equipment zone: a compartment may be missing", "equipment_rooms")),
+        F.concat(F.lit("By label: "), "by_label"),
+    )
+    return checklist(candidates, by, sure).select(by, F.array_join(F.array_compact(lines), "\n").alias("text"))
 
 
 def browse(rules: DataFrame, category: str | None = None, words: str = "") -> DataFrame:

@@ -9,7 +9,7 @@ projection, so targets are read once and nothing is shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ...functions.base import lookup
 from .model import Check, Condition, Rule, RuleError
 
 #: Target types in the order of a structured document.
@@ -264,16 +265,18 @@ def render(template: str, target: View, value: Column, threshold: Column) -> Col
 
 
 FINDING = ("doc_id", "rule_ord", "target_ord", "rule_id", "name", "category", "target_type", "target_id", "passed", "review_required", "value", "value_num", "threshold", "threshold_num", "reason", "severity", "mandatory", "source", "message")
+#: What a rule says of itself, looked up by its place after its findings are told, and the columns that come from its outcome.
+_OWN = {"rule_id": "rule_id", "name": "name", "category": "category", "target_type": "target", "severity": "severity", "mandatory": "mandatory", "source": "source"}
+_OUTCOME = ("passed", "value", "value_num", "threshold", "threshold_num", "reason")
 
 
-def _cell(order: int, rule: Rule, views: dict[str, View]) -> Column:
-    """A struct of the finding of one rule, null where the rule does not apply."""
-    fixed = {"rule_ord": order, "rule_id": rule.rule_id, "name": rule.name, "category": rule.category, "target_type": rule.target, "severity": rule.severity, "mandatory": rule.mandatory, "source": rule.source}
+def _cell(order: int, rule: Rule, views: dict[str, View], fields: frozenset[str]) -> Column:
+    """A struct of what changes from finding to finding of one rule, as far as wanted; null where the rule does not apply."""
 
     def finding(o: Column) -> Column:
         note = F.when(o["passed"].isNull(), F.concat(F.lit("  [待人工复核: "), o["reason"], F.lit("]"))).otherwise("")
-        message = F.concat(render(rule.message, views["target"], o["value"], o["threshold"]), note)
-        return F.struct(*(F.lit(v).alias(k) for k, v in fixed.items()), o.alias("o"), message.alias("message"))
+        told = {"message": lambda: F.concat(render(rule.message, views["target"], o["value"], o["threshold"]), note), "target_id": lambda: views["target"].value("id").shown}
+        return F.struct(F.lit(order).alias("rule_ord"), *(o[c].alias(c) for c in _OUTCOME if c in fields), *(make().alias(c) for c, make in told.items() if c in fields))
 
     once = F.element_at(F.transform(F.array(outcome(rule, views)), finding), 1)
     return F.when(conditions(rule.applies_when, views), once)
@@ -305,15 +308,19 @@ def _resolved(targets: DataFrame, rules: list[tuple[int, Rule]], views: dict[str
     return targets.select("*", *columns), {root: view(root, inner) for root, inner in views.items()}
 
 
-def findings_of(targets: DataFrame, rules: list[tuple[int, Rule]], target: View, station: View) -> DataFrame:
-    """One row for each rule, given with its place, that applies to a row (doc_id, target_ord, ...) of targets."""
+def findings_of(targets: DataFrame, rules: list[tuple[int, Rule]], target: View, station: View, fields: Sequence[str] = FINDING) -> DataFrame:
+    """One row for each rule, given with its place, that applies to a row (doc_id, target_ord, ...) of targets.
+
+    The optimizer does not look into arrays, so fields says which columns of a finding are built at all.
+    """
+    wanted = frozenset(fields) | ({"passed"} if "review_required" in fields else set())
     resolved, views = _resolved(targets, rules, {"target": target, "station": station})
-    cells = F.array_compact(F.array(*(_cell(order, rule, views) for order, rule in rules)))
-    fired = resolved.select("doc_id", "target_ord", views["target"].value("id").shown.alias("target_id"), F.explode(cells).alias("f"))
-    o = F.col("f.o")
-    own = {c: o[c] for c in ("passed", "value", "value_num", "threshold", "threshold_num", "reason")} | {"review_required": o["passed"].isNull()}
-    outer = ("doc_id", "target_ord", "target_id")
-    return fired.select(*((own[c] if c in own else F.col(c if c in outer else f"f.{c}")).alias(c) for c in FINDING))
+    cells = F.array_compact(F.array(*(_cell(order, rule, views, wanted) for order, rule in rules)))
+    fired = resolved.select("doc_id", "target_ord", F.inline(cells))
+    own = {order: rule for order, rule in rules}
+    said = lambda c: lookup({order: getattr(rule, _OWN[c]) for order, rule in own.items()}, F.col("rule_ord"))
+    column = lambda c: said(c) if c in _OWN else F.col("passed").isNull() if c == "review_required" else F.col(c)
+    return fired.select(*(column(c).alias(c) for c in FINDING if c in fields))
 
 
 def _grouped(rules: list[Rule]) -> dict[str, list[tuple[int, Rule]]]:
@@ -323,7 +330,7 @@ def _grouped(rules: list[Rule]) -> dict[str, list[tuple[int, Rule]]]:
     return out
 
 
-def evaluate_documents(documents: DataFrame, rules: list[Rule], body: str = "body") -> DataFrame:
+def evaluate_documents(documents: DataFrame, rules: list[Rule], body: str = "body", fields: Sequence[str] = FINDING) -> DataFrame:
     """Findings of JSON documents (doc_id, body): an object with a station and a list for each other target type.
 
     A null or empty station has no station findings; lists that are missing, null or no lists have no targets.
@@ -340,11 +347,11 @@ def evaluate_documents(documents: DataFrame, rules: list[Rule], body: str = "bod
         else:
             rows = read.select("doc_id", "station", F.posexplode(target).alias("target_ord", "target"))
         rows = rows.withColumn("station", F.coalesce("station", F.lit("{}"))).select("*", F.try_parse_json("target").alias("target_v"), F.try_parse_json(F.coalesce("station", F.lit("{}"))).alias("station_v"))
-        parts.append(findings_of(rows, own, json_view(F.col("target"), F.col("target_v")), json_view(F.col("station"), F.col("station_v"))))
+        parts.append(findings_of(rows, own, json_view(F.col("target"), F.col("target_v")), json_view(F.col("station"), F.col("station_v")), fields))
     return reduce(DataFrame.unionByName, parts)
 
 
-def evaluate_tables(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
+def evaluate_tables(tables: dict[str, DataFrame], rules: list[Rule], fields: Sequence[str] = FINDING) -> DataFrame:
     """Findings of typed object tables, each with doc_id and ord; the station table has one row for each document."""
     station = tables["station"]
     kind = T.StructType([f for f in station.schema.fields if f.name != "doc_id"])
@@ -354,11 +361,11 @@ def evaluate_tables(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFram
         if target not in tables:
             continue
         table = tables[target]
-        fields = T.StructType([f for f in table.schema.fields if f.name not in ("doc_id", "ord")])
-        row = F.struct(*(F.col(f.name) for f in fields.fields)).alias("target")
+        own_kind = T.StructType([f for f in table.schema.fields if f.name not in ("doc_id", "ord")])
+        row = F.struct(*(F.col(f.name) for f in own_kind.fields)).alias("target")
         if target == "station":
             rows = stations.select("doc_id", F.lit(0).alias("target_ord"), F.col("station").alias("target"), "station")
         else:
             rows = table.select("doc_id", F.col("ord").alias("target_ord"), row).join(stations, "doc_id", "left")
-        parts.append(findings_of(rows, own, typed_view(F.col("target"), fields), typed_view(F.col("station"), kind)))
+        parts.append(findings_of(rows, own, typed_view(F.col("target"), own_kind), typed_view(F.col("station"), kind), fields))
     return reduce(DataFrame.unionByName, parts)

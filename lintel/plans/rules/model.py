@@ -1,4 +1,4 @@
-"""Rules as data: parsed from JSON documents, or from the standard table."""
+"""Rules as data: parsed from rule documents."""
 
 from __future__ import annotations
 
@@ -88,29 +88,6 @@ def load_rules(spark: SparkSession, path: str) -> list[Rule]:
     return parse_rules(spark.read.text(path, wholetext=True).first()[0])
 
 
-def _value(text: str) -> Any:
-    return json.loads(text)
-
-
-def _conditions(text: str) -> list[dict]:
-    parts = [p.split(" ", 2) for p in text.split(" & ") if p]
-    return [{"path": path, "op": op, "value": _value(value)} for path, op, value in parts]
-
-
 def default_rules() -> list[Rule]:
     """The standard rule set for metro stations."""
-    rules = []
-    for line in STANDARD.strip().splitlines():
-        rule_id, name, category, target, when, check, where, level, source, message = (part.strip() for part in line.split(" | "))
-        kind, path, op, threshold = check.split(" ", 3)
-        spec = {"type": kind, "op": op, "path" if kind == "compare" else "collection_path": path}
-        if kind == "sum_aggregate":
-            spec["collection_path"], spec["field"] = path.split("#")
-        if threshold.startswith("@"):
-            at, divisor, cap = threshold[1:].split(" ")
-            spec |= {"threshold_path": at, "threshold_divisor": _value(divisor), "threshold_cap": _value(cap)}
-        else:
-            spec["threshold"] = _value(threshold)
-        spec["filter"] = _conditions("" if where == "-" else where)
-        rules.append(rule_of({"rule_id": rule_id, "name": name, "category": category, "target": target, "applies_when": _conditions("" if when == "-" else when), "check": spec, "mandatory": level == "critical", "severity": level, "source": source, "message": message}))
-    return rules
+    return parse_rules(STANDARD)

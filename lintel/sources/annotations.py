@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions.base import lookup
+from ..functions.text import numbers
 from ..vocab import ENGLISH
 
 _ATTRIBUTE = "array<struct<_VALUE:string,_name:string>>"
@@ -26,6 +27,7 @@ CONTRACTS = {
     "text_blocks": "doc_id string, page_no int, block_ord int, text string, bbox array<double>",
     "draw_ops": "doc_id string, page_no int, op_ord int, kind string, x0 double, y0 double, x1 double, y1 double, color array<double>",
     "ocr_words": "doc_id string, cx double, cy double, text string, box array<double>",
+    "ocr_numbers": "doc_id string, num_ord int, cx double, cy double, value double, box array<double>",
     "raw_detections": f"doc_id string, tile int, cls_id int, cls_name string, conf double, box array<double>, polygon {g.POINTS}",
     "station_meta": "doc_id string, type string, height_m double, transfer_lines int, project_all_doors_class_A boolean, is_shared_concourse boolean",
 }
@@ -37,11 +39,12 @@ def contract(name: str) -> T.StructType:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each image of the XML files under a path. Files that cannot be parsed give rows with `corrupt`."""
+    """One row for each image of the XML files under a path; doc_id is file and id, or name without one. Files that cannot be parsed give rows with `corrupt`."""
     raw = spark.read.format("xml").option("rowTag", "image").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").schema(IMAGE_XML).load(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.coalesce("_id", F.lit(0)).alias("image_ord"),
+        F.coalesce(F.col("_id").cast("string"), F.col("_name"), F.lit("0")).alias("image_key"),
         F.coalesce("_name", F.lit("")).alias("image"),
         F.coalesce("_width", F.lit(0.0)).alias("width"),
         F.coalesce("_height", F.lit(0.0)).alias("height"),
@@ -50,7 +53,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         "polyline",
         # with another column beside it, as the reader refuses queries for the corrupt record alone
         F.when(F.col("_name").isNull(), F.col("_corrupt_record")).alias("corrupt"),
-    ).withColumn("doc_id", F.concat_ws("#", "file", F.col("image_ord").cast("string")))
+    ).withColumn("doc_id", F.concat_ws("#", "file", F.col("image_key"))).drop("image_key")
 
 
 def _attributes(item: Column) -> Column:
@@ -64,6 +67,17 @@ def attr(name: str, attrs: Column | str = "attrs") -> Column:
     return F.coalesce(F.try_element_at(F.filter(column, lambda a: a["name"] == name), F.lit(-1))["value"], F.lit(""))
 
 
+def first_attr(*names: str, attrs: str = "attrs") -> Column:
+    """The first of some attributes that is not blank; empty where all are."""
+    return F.coalesce(*(F.when(F.trim(attr(n, attrs)) != "", attr(n, attrs)) for n in names), F.lit(""))
+
+
+def first_images(images: DataFrame) -> DataFrame:
+    """The first image that can be read of each file: a site scan looks at no other."""
+    first = images.where(F.col("corrupt").isNull()).groupBy("file").agg(F.min("image_ord").alias("image_ord"))
+    return images.where(F.col("corrupt").isNull()).join(first, ["file", "image_ord"], "left_semi")
+
+
 def shapes_of(images: DataFrame) -> DataFrame:
     """One row for each shape: its geometry, its place within that geometry, label, points and attributes."""
     parts = []
@@ -98,9 +112,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("body"))
 
 
-def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, name, stem) of files under a path, without their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path")
+def numbers_of_words(words: DataFrame, least: float, most: float) -> DataFrame:
+    """(doc_id, num_ord, cx, cy, value, box): the numbers within bounds that words (doc_id, word_ord, cx, cy, text, box) hold."""
+    found = words.select("doc_id", "word_ord", "cx", "cy", "box", F.posexplode(numbers(F.col("text"), least, most)).alias("at", "value"))
+    return found.select("doc_id", (F.col("word_ord") * 1_000 + F.col("at")).cast("int").alias("num_ord"), "cx", "cy", "value", "box")
+
+
+def list_files(spark: SparkSession, path: str, *patterns: str) -> DataFrame:
+    """(path, name, stem) of files under a path that fit one of some patterns, without their content."""
+    read = lambda p: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", p).load(path).select("path")
+    files = reduce(DataFrame.unionByName, map(read, patterns))
     name = F.substring_index("path", "/", -1)
     return files.select("path", name.alias("name"), F.regexp_replace(name, "\\.[^.]*$", "").alias("stem"))
 

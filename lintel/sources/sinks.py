@@ -11,13 +11,17 @@ from ..vocab import CLASSES, ENUMS, LABELS
 
 
 def write_annotations(shapes: DataFrame, path: str) -> None:
-    """Shapes as annotation XML: a directory of <annotations> files with an <image> for each image."""
+    """Shapes as annotation XML: a directory of <annotations> files with an <image> for each image.
+
+    A `source` column, as candidates have it (auto or auto_review), becomes an attribute of each shape.
+    """
+    source = [F.col("source").alias("_source")] if "source" in shapes.columns else []
     number = lambda c: F.format_string("%.2f", c)
     at = lambda i: F.get("points", F.lit(i))
     attribute = F.transform("attrs", lambda a: F.struct(a["name"].alias("_name"), a["value"].alias("_VALUE"))).alias("attribute")
     listed = F.array_join(F.transform("points", lambda p: F.concat(number(p["x"]), F.lit(","), number(p["y"]))), ";").alias("_points")
-    box = F.struct(F.col("label").alias("_label"), number(at(0)["x"]).alias("_xtl"), number(at(0)["y"]).alias("_ytl"), number(at(1)["x"]).alias("_xbr"), number(at(1)["y"]).alias("_ybr"), attribute)
-    drawn = F.struct(F.col("label").alias("_label"), listed, attribute)
+    box = F.struct(F.col("label").alias("_label"), number(at(0)["x"]).alias("_xtl"), number(at(0)["y"]).alias("_ytl"), number(at(1)["x"]).alias("_xbr"), number(at(1)["y"]).alias("_ybr"), *source, attribute)
+    drawn = F.struct(F.col("label").alias("_label"), listed, *source, attribute)
 
     def gathered(geom: str, item: Column) -> Column:
         held = F.array_sort(F.collect_list(F.when(F.col("geom") == geom, F.struct("ord", item.alias("item")))))

@@ -12,38 +12,29 @@ class Label(NamedTuple):
     required: tuple[str, ...]
 
 
-#: Label | geometry | drawing | attributes, the required ones with a star.
-_LABELS = """
-station_exit_ground | polygon | site |
-vent_group_ground | polygon | site | vent_function discharge_type name area_m2
-surrounding_building | polygon | site | name* building_type* fire_rating* floors height_m
-fire_compartment | polygon | hall | zone_type* area_m2_design
-public_area | polygon | hall |
-commercial_shop | polygon | hall |
-safety_exit | box | hall | pair_id
-stair_escalator | box | hall |
-gate | box | hall |
-fire_door | box | hall | class* swing_dir* text_content
-fire_shutter | box | hall |
-draft_curtain | box | hall |
-building_meta | box | site | text_content*
-vent_meta | box | site | text_content*
-dimension_val | box | site | text_content*
-fire_clearance_line | polyline | site | text_content
-evac_distance_line | polyline | hall | text_content pair_id
-width_dimension_line | polyline | hall | width
-room_title | box | hall | text_content*
-val_text | box | hall | text_content*
-"""
-
-
-def _label(line: str) -> tuple[str, Label]:
-    name, geom, group, attrs = (p.strip() for p in line.split("|"))
-    names = attrs.split()
-    return name, Label(geom, group, tuple(a.rstrip("*") for a in names), tuple(a.rstrip("*") for a in names if a.endswith("*")))
-
-
-LABELS: dict[str, Label] = dict(map(_label, _LABELS.strip().splitlines()))
+#: Geometry, drawing, attributes and required attributes of each label.
+LABELS: dict[str, Label] = {
+    "station_exit_ground": Label("polygon", "site", (), ()),
+    "vent_group_ground": Label("polygon", "site", ("vent_function", "discharge_type", "name", "area_m2"), ()),
+    "surrounding_building": Label("polygon", "site", ("name", "building_type", "fire_rating", "floors", "height_m"), ("name", "building_type", "fire_rating")),
+    "fire_compartment": Label("polygon", "hall", ("zone_type", "area_m2_design"), ("zone_type",)),
+    "public_area": Label("polygon", "hall", (), ()),
+    "commercial_shop": Label("polygon", "hall", (), ()),
+    "safety_exit": Label("box", "hall", ("pair_id",), ()),
+    "stair_escalator": Label("box", "hall", (), ()),
+    "gate": Label("box", "hall", (), ()),
+    "fire_door": Label("box", "hall", ("class", "swing_dir", "text_content"), ("class", "swing_dir")),
+    "fire_shutter": Label("box", "hall", (), ()),
+    "draft_curtain": Label("box", "hall", (), ()),
+    "building_meta": Label("box", "site", ("text_content",), ("text_content",)),
+    "vent_meta": Label("box", "site", ("text_content",), ("text_content",)),
+    "dimension_val": Label("box", "site", ("text_content",), ("text_content",)),
+    "fire_clearance_line": Label("polyline", "site", ("text_content",), ()),
+    "evac_distance_line": Label("polyline", "hall", ("text_content", "pair_id"), ()),
+    "width_dimension_line": Label("polyline", "hall", ("width",), ()),
+    "room_title": Label("box", "hall", ("text_content",), ("text_content",)),
+    "val_text": Label("box", "hall", ("text_content",), ("text_content",)),
+}
 
 #: Allowed values of attributes.
 ENUMS = {
@@ -63,44 +54,43 @@ ZONES = {"公共区": "public", "无人区": "equipment_unmanned", "有人值守
 #: Words that mark the title of an equipment room.
 EQUIPMENT_ROOMS = ("机房", "泵房", "配电", "控制室", "通信", "信号", "环控", "气瓶", "变电", "电缆", "风室", "管理", "票务", "站长", "备品", "工具", "卫生间", "厕所")
 
-#: Chinese labels and attribute names, by English name.
-_ENGLISH = """
-station_exit_ground 车站地面出入口
-vent_group_ground 风亭实体 地面通风机组
-surrounding_building 周边建筑
-fire_clearance_line 防火间距线 防火间距尺寸线
-building_meta 建筑属性文字
-vent_meta 风亭属性文字 通风设施属性文字
-dimension_val 防火间距尺寸数字
-fire_compartment 防火分区
-public_area 站厅公共区 公共区
-commercial_shop 商铺
-safety_exit 安全出口
-stair_escalator 楼梯扶梯 楼梯及自动扶梯
-gate 闸机 进出站闸机
-fire_door 防火门
-fire_shutter 防火卷帘 特级防火卷帘
-draft_curtain 挡烟垂壁
-evac_distance_line 疏散距离线 公共区最远疏散距离线
-width_dimension_line 宽度控制线 控制通道宽度尺寸线
-room_title 房间名称
-val_text 数值及文本
-zone_type 区域类型
-class 分类
-swing_dir 门扇开启方向
-width 宽度
-text_content 文字内容 尺寸
-name 名称 建筑名称 风亭名称
-building_type 建筑类型
-fire_rating 耐火等级
-floors 层数
-height_m 建筑高度 高度
-vent_function 风亭功能 通风功能 风口功能
-discharge_type 出风方式 排放方式 出风形式
-area_m2 面积 风口面积
-area_m2_design 设计面积 声称面积 分区面积
-"""
-ENGLISH: dict[str, str] = {zh: en for en, *zhs in map(str.split, _ENGLISH.strip().splitlines()) for zh in zhs}
+#: English names of Chinese labels and attribute names.
+ENGLISH: dict[str, str] = {
+    "车站地面出入口": "station_exit_ground",
+    "风亭实体": "vent_group_ground", "地面通风机组": "vent_group_ground",
+    "周边建筑": "surrounding_building",
+    "防火间距线": "fire_clearance_line", "防火间距尺寸线": "fire_clearance_line",
+    "建筑属性文字": "building_meta",
+    "风亭属性文字": "vent_meta", "通风设施属性文字": "vent_meta",
+    "防火间距尺寸数字": "dimension_val",
+    "防火分区": "fire_compartment",
+    "站厅公共区": "public_area", "公共区": "public_area",
+    "商铺": "commercial_shop",
+    "安全出口": "safety_exit",
+    "楼梯扶梯": "stair_escalator", "楼梯及自动扶梯": "stair_escalator",
+    "闸机": "gate", "进出站闸机": "gate",
+    "防火门": "fire_door",
+    "防火卷帘": "fire_shutter", "特级防火卷帘": "fire_shutter",
+    "挡烟垂壁": "draft_curtain",
+    "疏散距离线": "evac_distance_line", "公共区最远疏散距离线": "evac_distance_line",
+    "宽度控制线": "width_dimension_line", "控制通道宽度尺寸线": "width_dimension_line",
+    "房间名称": "room_title",
+    "数值及文本": "val_text",
+    "区域类型": "zone_type",
+    "分类": "class",
+    "门扇开启方向": "swing_dir",
+    "宽度": "width",
+    "文字内容": "text_content", "尺寸": "text_content",
+    "名称": "name", "建筑名称": "name", "风亭名称": "name",
+    "建筑类型": "building_type",
+    "耐火等级": "fire_rating",
+    "层数": "floors",
+    "建筑高度": "height_m", "高度": "height_m",
+    "风亭功能": "vent_function", "通风功能": "vent_function", "风口功能": "vent_function",
+    "出风方式": "discharge_type", "排放方式": "discharge_type", "出风形式": "discharge_type",
+    "面积": "area_m2", "风口面积": "area_m2",
+    "设计面积": "area_m2_design", "声称面积": "area_m2_design", "分区面积": "area_m2_design",
+}
 
 #: Training classes; a class's place is its id.
 CLASSES = (

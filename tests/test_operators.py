@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import geometry as g
 from lintel.operators import detect, evac, matching, scale
-from lintel.operators.spatial import blocked_overlap_join, first_match_join, nearest_join, without_neighbour
+from lintel.operators.spatial import blocked_overlap_join, first_match_join, like_boxes_join, near_join, nearest_join, none_near
 from lintel.plans import dataset, report
 from lintel.sources import sinks
 from lintel.sources.annotations import SHAPES
@@ -28,10 +28,59 @@ def test_first_match(spark):
     assert {(r["l"], r["found"] and r["found"]["r"]) for r in first_match_join(left, right, ["doc"], ["l"], F.col("x") < F.col("top"), ["r"]).collect()} == {(1, 1), (2, None)}
 
 
-def test_without_neighbour(spark):
+def test_none_near(spark):
     left = spark.createDataFrame([("d", 1, 5.0), ("d", 2, 50.0), ("e", 3, 1.0)], "doc string, l int, x double")
     right = spark.createDataFrame([("d", 6.0)], "doc string, z double")
-    assert [r["l"] for r in without_neighbour(left, right, ["doc"], F.abs(F.col("x") - F.col("z")), 2).collect()] == [2]
+    assert [r["l"] for r in none_near(left, right, ["doc"], ["l"], F.array(g.point(F.col("x"), F.lit(0.0))), g.point(F.col("z"), F.lit(0.0)), 2).collect()] == [2]
+
+
+def test_near_join_matches_all_pairs(spark):
+    r = random.Random(6)
+    left = [("d", i, [(r.uniform(-90, 90), r.uniform(-90, 90)) for _ in range(r.randint(1, 3))]) for i in range(80)]
+    right = [("d", i, r.uniform(-90, 90), r.uniform(-90, 90)) for i in range(60)] + [("d", 99, *left[0][2][0]), ("d", 98, *left[0][2][0])]
+    found = near_join(spark.createDataFrame(left, f"doc string, l int, spots {g.POINTS}"), spark.createDataFrame(right, "doc string, r int, x double, y double"), ["doc"], ["l"], F.col("spots"), g.point(F.col("x"), F.col("y")), ["r"], 12.5)
+    got = {x["l"]: x["nearest"]["r"] for x in found.collect()}
+    want = {}
+    for _, i, spots in left:
+        least = min((min(math.hypot(a - x, b - y) for a, b in spots), k) for _, k, x, y in right)
+        if least[0] <= 12.5:
+            want[i] = least[1]
+    assert got == want and got[0] == 98
+
+
+def test_like_boxes_match_all_pairs(spark):
+    r = random.Random(7)
+    boxes = []
+    for i in range(60):
+        x, y, w, h = r.uniform(-500, 500), r.uniform(-500, 500), 2 ** r.uniform(-3, 9), 2 ** r.uniform(-3, 9)
+        boxes += [(x, y, x + w, y + h)] + [(x + w * r.uniform(-0.1, 0.1), y + h * r.uniform(-0.1, 0.1), x + w * r.uniform(0.9, 1.1), y + h * r.uniform(0.9, 1.1)) for _ in range(3)]
+    boxes += [boxes[0], (1.0, 1.0, 1.0, 5.0), (1.0, 1.0, 1.0, 5.0)]
+    rows = [("d", i, *b) for i, b in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "doc string, k int, x0 double, y0 double, x1 double, y1 double").select("doc", "k", F.struct("x0", "y0", "x1", "y1").alias("box"))
+
+    def share(a, b):
+        i = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        u = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - i
+        return i / u if u else 0
+
+    for least in (0.55, 0.85):
+        want = {(i, j) for i, a in enumerate(boxes) for j, b in enumerate(boxes) if i < j and share(a, b) > least}
+        got = [(x["a"], x["b"]) for x in like_boxes_join(df, ["doc"], "k", least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_names_match_all_pairs(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(0, 4)))
+    left, right = sorted({f"/l/{word()} {word()}" for _ in range(30)}), sorted({f"/r/{word()}" for _ in range(20)})
+    stem = lambda p: " ".join(p.rsplit("/", 1)[1].split())
+    want = {}
+    for a in left:
+        scored = [(-(1000 + len(stem(b))) if stem(b) in stem(a) or stem(a) in stem(b) else -sum(c in stem(a) for c in stem(b)), b) for b in right]
+        if min(scored)[0] <= -1:
+            want[a] = (min(scored)[1], -min(scored)[0])
+    found = matching.best_by_name(spark.createDataFrame([(x,) for x in left], "path string"), spark.createDataFrame([(x,) for x in right], "path string"))
+    assert {x["path"]: (x["match"], x["score"]) for x in found.collect()} == want
 
 
 @pytest.fixture(scope="module")
@@ -114,7 +163,7 @@ def test_shortest(seed):
 def test_evacuation_of_mazes(spark):
     from lintel.plans import catalogue
 
-    rows = {r["doc_id"]: r for r in catalogue.evac_distance(spark, "/root/testdata/sf0.001").collect()}
+    rows = {r["doc_id"]: r for r in catalogue.queries()["evac_distance"](spark, "/root/testdata/sf0.001").collect()}
     for region, row in rows.items():
         mask = np.array([[not (x == 5 and y < 7) and not (x == 8 and y > int(region)) for x in range(12)] for y in range(8)])
         far = max(plain_shortest(mask, [(0, 0)]).values())
@@ -185,5 +234,5 @@ def test_rule_views(spark):
     rules = spark.createDataFrame([("A-1", "门", "x", "GB 1", True), ("B-2", "窗", "y", "gb 2", False)], "rule_id string, name string, category string, source string, mandatory boolean")
     assert report.browse(rules, words="GB").count() == 2 and report.browse(rules, "y", "b-2").count() == 1
     assert tuple(report.catalogue(rules).first()) == (2, 2, 1)
-    listed = report.checklist(spark.createDataFrame([("d", "fire_compartment", 0.5, None), ("d", "gate", 0.9, None)], "doc_id string, label string, conf double, zone_type string")).first()
-    assert (listed["total"], listed["to_review"], listed["untyped_zones"], listed["by_label"]) == (2, 1, 1, "fire_compartment=1, gate=1")
+    listed = report.checklist(spark.createDataFrame([("d", "fire_compartment", 0.5, None), ("d", "gate", 0.9, None)], "doc_id string, label string, conf double, zone_type string").withColumn("content", F.lit(""))).first()
+    assert (listed["total"], listed["to_review"], listed["zones"], listed["by_label"]) == (2, 1, 1, "fire_compartment=1, gate=1")
