@@ -139,11 +139,12 @@ def _cut(hasher: WordHasher, text: bytes, spans: list[int]) -> bytes:
 
 
 _FOUND = [T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+_COUNTED = [*_FOUND, T.StructField("n_words", T.LongType())]
 _ARROW = pa.list_(pa.int64()), pa.list_(pa.string())
 
 
 def _looked_up(rows: DataFrame, at: int, items: DataFrame, length: int, hits_only: bool):
-    """rows with spans and items of one slice (i, t), whose text is column number at, and the broadcast index."""
+    """rows with spans and items of one slice (i, t) and n_words, of the text in column number at; and the broadcast index."""
     index = index_of([(r["i"], r["t"].encode()) for r in items.orderBy("i", "t").collect()], length)
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
@@ -152,13 +153,14 @@ def _looked_up(rows: DataFrame, at: int, items: DataFrame, length: int, hits_onl
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [_lookup(known, hasher, body or b"") for body in texts(batch.column(at))]
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array([_flat(s) for _, s, _ in found], _ARROW[0]), pa.array([sorted(x) for *_, x in found], _ARROW[1])], [*batch.schema.names, "spans", "items"])
+            told = [pa.array([_flat(s) for _, s, _ in found], _ARROW[0]), pa.array([sorted(x) for *_, x in found], _ARROW[1]), pa.array([n for n, *_ in found], pa.int64())]
+            out = pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "spans", "items", "n_words"])
             return out.filter(pa.array([bool(s) for _, s, _ in found], pa.bool_())).drop_columns([batch.schema.names[at]]) if hits_only else out
 
         return each
 
     kept = [f for i, f in enumerate(rows.schema.fields) if not (hits_only and i == at)]
-    return map_batches(rows, T.StructType([*kept, *_FOUND]), make), shared
+    return map_batches(rows, T.StructType([*kept, *_COUNTED]), make), shared
 
 
 def _in_slices(numbered: DataFrame, at: int, items: DataFrame, n: int, length: int) -> DataFrame:
@@ -168,7 +170,7 @@ def _in_slices(numbered: DataFrame, at: int, items: DataFrame, n: int, length: i
     parts = None
     for k in range(n):
         found, shared = _looked_up(named, 1, items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k), length, True)
-        part = settle(found.distinct(), "benchmark-hits")
+        part = settle(found.drop("n_words").distinct(), "benchmark-hits")
         shared.destroy()
         parts = part if parts is None else parts.unionByName(part)
     gathered = parts.groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -183,7 +185,7 @@ def _in_slices(numbered: DataFrame, at: int, items: DataFrame, n: int, length: i
     merged = settle(map_batches(gathered, T.StructType([T.StructField("sha", T.StringType()), *_FOUND]), make), "benchmark-found")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     joined = numbered.withColumn("sha", F.sha2(body, 256)).join(if_small(merged), "sha", "left")
-    return joined.select(*numbered.columns, none("spans", "array<long>"), none("items", "array<string>"))
+    return joined.select(*numbered.columns, none("spans", "array<long>"), none("items", "array<string>"), F.regexp_count(F.coalesce(F.col(body), F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", length: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -202,7 +204,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     volume = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     found = _looked_up(numbered, at, items, length, False)[0] if volume <= slice_bytes else _in_slices(numbered, at, items, -(-2 * volume // slice_bytes), length)
     total = lambda odd: F.aggregate(F.filter("spans", lambda _, i: i % 2 == odd), F.lit(0).cast("long"), lambda a, b: a + b)
-    return found.withColumn("n_words", F.regexp_count(F.coalesce(F.col(f"c{at}"), F.lit("")), F.lit(_WORD)).cast("long")).withColumn("n_hit", total(1) - total(0))
+    return found.withColumn("n_hit", total(1) - total(0))
 
 
 def contaminated(n_hit, n_words, parts: int = 20):
