@@ -19,26 +19,31 @@ RESULT = "doc_id string, max_distance_m double, farthest_x int, farthest_y int,
 def shortest(mask: np.ndarray, sources: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The distance in cells of each passable cell from the nearest source (x, y), and that source, the first of equals; sources may lie outside the mask.
 
-    All cells are relaxed at once from each of their eight sides until none changes.
+    All cells that changed last offer their neighbours a way, and the least offers change these, until none does.
     """
     height, width = mask.shape
-    dist, source = np.full((height + 2, width + 2), np.inf), np.full((height + 2, width + 2), len(sources))
+    wide = width + 2
+    passable = np.pad(mask, 1).ravel()
+    dist, source = np.full(passable.shape, np.inf), np.full(passable.shape, len(sources))
     for i, (x, y) in reversed(list(enumerate(sources))):
         if 0 <= x < width and 0 <= y < height:
-            dist[y + 1, x + 1], source[y + 1, x + 1] = 0.0, i
-    inner = dist[1:-1, 1:-1], source[1:-1, 1:-1]
-    sides = [(v, u, math.hypot(v - 1, u - 1)) for v in range(3) for u in range(3) if (v, u) != (1, 1)]
-    while True:
-        moved = False
-        for v, u, cost in sides:
-            at = slice(v, v + height), slice(u, u + width)
-            offered, by = dist[at] + cost, source[at]
-            better = mask & ((offered < inner[0]) | ((offered == inner[0]) & np.isfinite(offered) & (by < inner[1])))
-            if better.any():
-                moved = True
-                inner[0][better], inner[1][better] = offered[better], by[better]
-        if not moved:
-            return inner[0].copy(), np.where(np.isinf(inner[0]), -1, inner[1])
+            dist[(y + 1) * wide + x + 1], source[(y + 1) * wide + x + 1] = 0.0, i
+    steps = [(v, u) for v in (-1, 0, 1) for u in (-1, 0, 1) if (v, u) != (0, 0)]
+    moves, costs = np.array([v * wide + u for v, u in steps])[:, None], np.array([math.hypot(v, u) for v, u in steps])[:, None]
+    front = np.flatnonzero(dist == 0)
+    while len(front):
+        at, offered = (front + moves).ravel(), (dist[front] + costs).ravel()
+        by = np.broadcast_to(source[front], (len(steps), len(front))).ravel()
+        better = passable[at] & ((offered < dist[at]) | ((offered == dist[at]) & (by < source[at])))
+        at, offered, by = at[better], offered[better], by[better]
+        order = np.lexsort((by, offered, at))
+        at, offered, by = at[order], offered[order], by[order]
+        first = np.ones(len(at), bool)
+        first[1:] = at[1:] != at[:-1]
+        front = at[first]
+        dist[front], source[front] = offered[first], by[first]
+    whole = lambda a: a.reshape(height + 2, wide)[1:-1, 1:-1]
+    return whole(dist), np.where(np.isinf(whole(dist)), -1, whole(source))
 
 
 def farthest(mask: np.ndarray, exits: list[tuple[str, float, float]], scale: float, cell: int = CELL) -> tuple[float | None, int | None, int | None, str | None, int, int]:

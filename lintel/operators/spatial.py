@@ -97,14 +97,14 @@ def like_boxes_join(boxes: DataFrame, on: Sequence[str], key: str, least: float)
     sized = boxes.where((sides["w"] > 0) & (sides["h"] > 0)).select(*on, F.col(key).alias("k"), F.struct(*rest).alias("row"), box.alias("box"), *(v.alias(n) for n, v in sides.items()))
     level = lambda v: F.floor(F.log2(v)).cast("int")
     cell = lambda v, k: F.floor(v / F.pow(F.lit(2.0), k)).cast("long")
-    both = lambda low, high: F.explode(F.array_distinct(F.array(low, high)))
+    upto = lambda low, high: F.explode(F.sequence(low, high))
     slack = 1 + 1e-9
     one = sized.select(*on, F.col("k").alias("a"), F.col("row").alias("row_a"), F.col("box").alias("box_a"), level(F.col("w")).alias("__w"), level(F.col("h")).alias("__h")).withColumn("__x", cell(F.col("box_a.x0"), F.col("__w"))).withColumn("__y", cell(F.col("box_a.y0"), F.col("__h")))
     off = lambda side: F.col(side) * ((1 / least - 1) * slack)
     two = sized.select(*on, F.col("k").alias("b"), F.col("row").alias("row_b"), F.col("box").alias("box_b"), "w", "h")
     for n in ("w", "h"):
-        two = two.withColumn(f"__{n}", both(level(F.col(n) * (least / slack)), level(F.col(n) * (slack / least))))
-    two = two.withColumn("__x", both(cell(F.col("box_b.x0") - off("w"), F.col("__w")), cell(F.col("box_b.x0") + off("w"), F.col("__w")))).withColumn("__y", both(cell(F.col("box_b.y0") - off("h"), F.col("__h")), cell(F.col("box_b.y0") + off("h"), F.col("__h")))).drop("w", "h")
+        two = two.withColumn(f"__{n}", upto(level(F.col(n) * (least / slack)), level(F.col(n) * (slack / least))))
+    two = two.withColumn("__x", upto(cell(F.col("box_b.x0") - off("w"), F.col("__w")), cell(F.col("box_b.x0") + off("w"), F.col("__w")))).withColumn("__y", upto(cell(F.col("box_b.y0") - off("h"), F.col("__h")), cell(F.col("box_b.y0") + off("h"), F.col("__h")))).drop("w", "h")
     pairs = one.join(two, [*on, "__w", "__h", "__x", "__y"]).where("a < b").withColumn("iou", g.iou(F.col("box_a"), F.col("box_b"))).where(F.col("iou") > least)
     return pairs.select(*on, "a", "b", "row_a", "row_b", "iou")
 
