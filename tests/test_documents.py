@@ -70,3 +70,17 @@ def test_rules_written_out(spark):
 def test_training_metrics(spark, tmp_path):
     (tmp_path / "m.csv").write_text("epoch, time\n1, 2.5\n2, x\n")
     assert [tuple(r) for r in annotations.read_training_metrics(spark, str(tmp_path / "m.csv")).collect()] == [(1.0, 2.5), (2.0, None)]
+
+
+def test_documents_are_grouped_and_read_once(spark):
+    """One shuffle for all tables and types: a join for each table, made again for each type, filled the driver with stages."""
+    station = spark.createDataFrame([("d", 3.0), ("e", 4.0)], "doc_id string, height_m double")
+    table = lambda kind: spark.createDataFrame([("d", 1, f"{kind}-2", 20.0), ("d", 0, f"{kind}-1", 400.0), ("x", 0, "lost", 1.0)], "doc_id string, ord int, id string, area_m2 double")
+    nested = documents.nest({"station": station} | {kind: table(kind) for kind in ("fire_compartment", "door", "shop")})
+    bodies = {r["doc_id"]: json.loads(r["body"]) for r in nested.collect()}
+    listed = lambda kind: [{"id": f"{kind}-1", "area_m2": 400.0}, {"id": f"{kind}-2", "area_m2": 20.0}]
+    assert bodies == {"d": {"station": {"height_m": 3.0}, **{k: listed(k) for k in ("fire_compartment", "door", "shop")}}, "e": {"station": {"height_m": 4.0}, "fire_compartment": [], "door": [], "shop": []}}
+    found = evaluate_documents(nested, default_rules())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {(r["target_id"], r["passed"]) for r in found.collect() if r["rule_id"] == "SHOP-AREA-EACH-001"} == {("shop-1", False), ("shop-2", True)}
