@@ -46,6 +46,14 @@ def test_flat_documents(spark):
     assert documents.inverse_scale(numbers, region).first()["scale"] == 1.0
 
 
+def test_flat_documents_of_one_place_go_by_value(spark):
+    """Whatever order the rows come in."""
+    numbers = [("d", 1, v) for v in (6000.0, 400.0, 9000.0, 500.0)]
+    told = [documents.flat_document(spark.createDataFrame(rows, "doc_id string, ord int, value double").coalesce(1)).first()["body"] for rows in (numbers, numbers[::-1])]
+    assert told[0] == told[1]
+    assert [(c["id"], c["area_m2"]) for c in json.loads(told[0])["fire_compartment"]] == [("FC-01", 400.0), ("FC-02", 500.0), ("FC-03", 6000.0), ("FC-04", 9000.0)]
+
+
 def test_vent_pairs_and_values(spark):
     ring = lambda x: [(x, 0.0), (x + 10, 0.0), (x + 10, 10.0), (x, 10.0)]
     shape = lambda k, x, use: ("d", "f", "i", 1.0, 1.0, "polygon", k, "vent_group_ground", ring(x), [("vent_function", use)])
