@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import numpy as np
@@ -43,26 +44,25 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-class Counter:
-    """The number of tokens of a pre-token, remembered."""
+class Counter(dict[str, int]):
+    """The number of tokens of each pre-token that was asked for, remembered; only a new one runs Python."""
 
     def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        self.encode, self.known, self.encoded = encode, {}, 0
-
-    def __call__(self, token: str) -> int:
-        n = self.known.get(token)
-        if n is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            n = self.known[token] = len(self.encode(token))
+        self.encode = encode
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = self[token] = len(self.encode(token))
         return n
 
 
 class TokenTree:
     """Starts of a text's leaves, which are pre-tokens, and a heap of counts: node i sums nodes 2i and 2i + 1, leaves stand from `width` on.
 
-    A leaf of no characters has no tokens: edits that take pre-tokens away leave such ones, and where edits bring more
-    pre-tokens than they took, the last leaf of the region holds the rest of them.
+    Starts and heap are made when they are first asked for, so a text without edits has neither. A leaf of no characters
+    has no tokens: edits that take pre-tokens away leave such ones, and where edits bring more pre-tokens than they took,
+    the last leaf of the region holds the rest of them.
     """
 
     def __init__(self, text: str, count: Callable[[str], int], leaves: tuple[Sequence[int], Sequence[int]] | None = None, pattern: str = tokenizer.PATTERN) -> None:
@@ -72,28 +72,35 @@ class TokenTree:
             tokens = self.pattern.findall(text)
             leaves = list(map(len, tokens)), list(map(count, tokens))
         lengths, counts = leaves
-        if sum(lengths) != len(text):
+        if sum(lengths) != len(text) or len(lengths) != len(counts):
             raise ValueError("leaves of another text")
-        self.starts = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))[:-1]]).astype(np.int64).tolist() if len(lengths) else [0]
-        self.width = 1 << (len(self.starts) - 1).bit_length()
+        self._lengths, self._counts = (lengths, counts) if len(lengths) else ([0], [0])
+        self.width = 1 << (len(self._lengths) - 1).bit_length()
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return list(accumulate(self._lengths[:-1], initial=0))
+
+    @cached_property
+    def sums(self) -> list[int]:
         heap = np.zeros(2 * self.width, np.int64)
-        heap[self.width : self.width + len(counts)] = counts
+        heap[self.width : self.width + len(self._counts)] = self._counts
         low = self.width
         while low > 1:
             heap[low // 2 : low] = heap[low : 2 * low].reshape(-1, 2).sum(axis=1)
             low //= 2
-        self.sums = heap.tolist()
-        if self.width == 1:
-            self.sums = [0, self.sums[1]]
+        return heap.tolist()
 
     @property
     def total(self) -> int:
-        return self.sums[1]
+        return self.sums[1] if "sums" in self.__dict__ else sum(self._counts)
 
     @property
     def leaves(self) -> tuple[list[int], list[int]]:
         """Lengths and counts of the leaves, from which the tree can be built again without encoding."""
-        return np.diff([*self.starts, len(self.text)]).tolist(), self.sums[self.width : self.width + len(self.starts)]
+        if "sums" in self.__dict__:
+            return self._lengths, self.sums[self.width : self.width + len(self._lengths)]
+        return self._lengths, self._counts
 
     def _put(self, i: int, n: int) -> None:
         node, change = self.width + i, n - self.sums[self.width + i]
@@ -148,7 +155,7 @@ class TokenTree:
         return again
 
     def _replace(self, new: str, regions: list[tuple[int, int, list[str]]]) -> None:
-        lengths = np.diff([*self.starts, len(self.text)])
+        lengths = list(self._lengths)
         for first, last, tokens in regions:
             slots = last - first
             own = [len(t) for t in tokens]
@@ -160,8 +167,13 @@ class TokenTree:
             lengths[first:last] = own + [0] * pad
             for i, n in enumerate(counts + [0] * pad):
                 self._put(first + i, n)
-        self.text = new
-        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).tolist()
+        self.text, self._lengths = new, lengths
+        self.starts = list(accumulate(lengths[:-1], initial=0))
+
+
+def _lists(rows: list[list[int]]) -> pa.Array:
+    ends = list(accumulate(map(len, rows), initial=0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, ends[-1])))
 
 
 def count_edited(docs: DataFrame, edits: Callable[[str], list[Edit]] | str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, tree: tuple[str, str] | None = None) -> DataFrame:
@@ -184,7 +196,7 @@ def count_edited(docs: DataFrame, edits: Callable[[str], list[Edit]] | str, text
     schema = f"{fields}n_tokens long, n_edits long, n_tokens_after long, n_characters_after long, n_again long, leaf_lengths array<int>, leaf_counts array<int>, text_after string"
 
     def make():
-        count = Counter(tokenizer.encoder(raw.value).encode_ordinary)
+        count = Counter(tokenizer.encoder(raw.value).encode_ordinary).__getitem__
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -195,8 +207,9 @@ def count_edited(docs: DataFrame, edits: Callable[[str], list[Edit]] | str, text
                 before = held.total
                 again = held.apply(made)
                 rows.append((before, len(made), held.total, len(held.text), again, *held.leaves, held.text))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2 + [pa.string()]
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], [*batch.schema.names[: len(carry)], *results])
+            numbers = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
+            lists = [_lists([r[i] for r in rows]) for i in (5, 6)]
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *numbers, *lists, pa.array([r[7] for r in rows], pa.string())], [*batch.schema.names[: len(carry)], *results])
 
         return each
 

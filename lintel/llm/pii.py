@@ -30,6 +30,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a run of digits that fails from its first digit fails from the others, and matches end where runs end
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_DOTTED = re.compile(r"[0-9]\.[0-9]+\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TWELVE = re.compile(r"[0-9](?:[ -]?[0-9]){11}")
@@ -59,7 +60,8 @@ def luhn(digits: str) -> bool:
 def plain(text: str) -> list[Span]:
     """The identifiers of a text as (kind, start, end) in code points, by start and kind."""
     found = _emails(text)
-    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    if _DOTTED.search(text):
+        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     if _TWELVE.search(text):
         for m in _CARD.finditer(text):
             digits = _NO_DIGIT.sub("", m[0])
@@ -93,12 +95,14 @@ SECRET_FORMS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"xox[abprs]
 #: A value of 16 characters or more, of which one is a digit, behind a name and a sign or the word bearer.
 _ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(n.replace(' ', '[ _-]?') for n in SECRET_NAMES)})['\"]?(?:\s{{0,4}}[:=]{{1,2}}>?\s{{0,4}}(?:bearer\s)?|\s)['\"]?(?=[A-Za-z_+/=.~-]*[0-9])([A-Za-z0-9_+/=.~-]{{16,}})")
 _SECRET_FORM = re.compile(rf"(?<![A-Za-z0-9_-])(?:{'|'.join(SECRET_FORMS)})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----")
-_SECRET_HINT = re.compile(r"(?i)token|secret|pass|key|auth|bearer|credential|akia|gh[pousr]_|xox|sk-|eyj")
+#: One of these is in the lower-cased text of any secret. A dotted or dotless i counts as i where case does not, so only akia, whose case counts, has that letter.
+_SECRET_HINTS = ("token", "secret", "pass", "key", "auth", "bearer", "credent", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyj")
 
 
 def secrets(text: str) -> list[Span]:
     """The secrets of a text: values assigned to a name that says so, and forms of well-known issuers."""
-    if not _SECRET_HINT.search(text):
+    lower = text.lower().replace("ſ", "s")
+    if not any(hint in lower for hint in _SECRET_HINTS):
         return []
     found = sorted([(m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text)] + [m.span() for m in _SECRET_FORM.finditer(text)])
     out: list[Span] = []

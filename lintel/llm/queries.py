@@ -59,7 +59,8 @@ def op7_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _masks(text: str) -> list[edit_counts.Edit]:
     """Edits, none over another, that mask personal data and cut lines that stood before; overlapping data has the mask of its first, and data within a cut line none."""
     cut, seen, at = [], set(), 0
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    for line in lines if len(set(lines)) < len(lines) else ():
         if line.strip() and line in seen:
             cut.append(edit_counts.Edit(at, at + len(line) + 1, ""))
         seen.add(line)

@@ -87,3 +87,25 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "one two", 5, 6)], "doc_id long, __text string, N_tokens int, tree int")
     out = edit_counts.count_edited(docs, lambda text: [], "__text", ("doc_id", "N_tokens", "__text", "tree"))
     assert out.columns[:4] == ["doc_id", "N_tokens_in", "__text", "tree"] and out.first()["n_tokens"] == 2
+
+
+def test_a_text_without_edits_has_no_heap(count):
+    counts = edit_counts.Counter(lambda token: range(count(token)))
+    tree = TokenTree(prose(3, 2_000), counts.__getitem__)
+    assert tree.total == count(tree.text) and sum(tree.leaves[1]) == tree.total and tree.apply([]) == 0
+    assert "sums" not in tree.__dict__ and "starts" not in tree.__dict__
+    tree.apply([Edit(5, 9, " it's ")])
+    assert tree.total == count(tree.text) == tree.sums[1] and sum(tree.leaves[0]) == len(tree.text)
+
+
+def test_a_full_memory_starts_anew(count, monkeypatch):
+    monkeypatch.setattr(edit_counts, "REMEMBERED", 7)
+    counts = edit_counts.Counter(lambda token: range(count(token)))
+    text = prose(4, 500)
+    assert TokenTree(text, counts.__getitem__).total == count(text) and len(counts) <= 7
+
+
+def test_leaves_of_another_text():
+    for leaves in (([3], [1]), ([2, 2], [1])):
+        with pytest.raises(ValueError):
+            TokenTree("four", None, leaves)

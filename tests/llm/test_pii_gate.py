@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 
 from lintel.llm import pii
 
+from .conftest import prose
+
 PARTS = ["plus ", "Plus ", "pluſ ", "PLUS ", "one", "two", "1", "5", "7 ", "555", "-123-4567", "sept", "FÜNF", "Zero", " ", ", ", ",", "-", ". ", ".", "+", "bob", "(at)", " at ", " dot ", "[.]", "com", "\n", "{ punto }", "<chez>", "ät", "one ", "two ", "4,"]
 
 
@@ -23,3 +27,31 @@ def test_gate_changes_nothing(monkeypatch):
     monkeypatch.setattr(pii, "_may_hide", lambda text: True)
     assert sum(bool(more) for _, more in gated) > 100
     assert [t for t, g in zip(texts, gated, strict=True) if pii.find(t) != g] == []
+
+
+NAMES = ["toKen", "ſecret", "paſſwd", "API-key", "access_Key", "authorization", "authorİzation", "authorızatıon", "credentİal", "CREDENTıAL", "bearer", "private Key", "plain"]
+FORMS = ["AKIA" + "A1B2" * 4, "ghp_" + "a1" * 20, "ghr_" + "Z9" * 18, "xoxb-1234567890ab", "sk-" + "a" * 24, "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12, "-----BEGIN RSA PRIVATE KEY-----", "1.2.3.4", "1.2.3"]
+
+
+def test_hints_lose_no_secret(monkeypatch):
+    r = random.Random(4)
+    texts = [f"{r.choice(['', 'dear '])}{r.choice(NAMES)}{r.choice(['=', ': ', ' ', ':= bearer '])}{r.choice(['abcdefgh12345678ij', 'A+/=._-~1234567', 'noDigitsAtAllHere'])}" for _ in range(4_000)]
+    texts += [f"{r.choice(['', 'ſ '])}{form}{r.choice(['', ' é'])}" for form in FORMS for _ in range(20)]
+    hinted = [pii.secrets(t) for t in texts]
+    monkeypatch.setattr(pii, "_SECRET_HINTS", ("",))
+    assert sum(map(bool, hinted)) > 1_000 and [pii.secrets(t) for t in texts] == hinted
+
+
+def test_a_text_without_secrets_costs_no_pattern_of_either_case():
+    text = prose(6, 60_000)
+    names = re.compile(r"(?i)token|secret|pass|key|auth|bearer|credential|akia|gh[pousr]_|xox|sk-|eyj")
+
+    def seconds(of):
+        best = float("inf")
+        for _ in range(5):
+            start = time.process_time()
+            assert not of(text)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert 2 * seconds(pii.secrets) < seconds(names.search)
